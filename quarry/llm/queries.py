@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quarry.llm.common import crc_mod, table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack_documents
 
@@ -58,9 +64,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_token_blocks, op7_language_id, op8_toxicity, op9_exact_topk, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_best_fit_packing, op5_token_blocks, op7_language_id, op8_toxicity, op9_exact_topk, op10_warc)}
 
 ORACLE_SQL = {
+    "op1_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh
+            FROM w),
+        n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+        e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+        p AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (
+            SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * both >= 80 * (a.n + b.n - both)),
+        ll AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+        r AS (
+            SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, ll.v FROM r JOIN ll ON r.v = ll.u)
+        SELECT n.doc_id, n.n AS n_shingles, min(v) AS component_id, n.doc_id = min(v) AS kept
+        FROM n JOIN r ON r.u = n.doc_id GROUP BY 1, 2
+    """,
     "op9_exact_topk": """
         WITH q AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v

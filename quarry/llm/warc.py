@@ -23,6 +23,7 @@ from quarry.llm.common import chunks, new_path, written
 
 MIN_REVISIT_BYTES = 1000
 GAP, READ = 1 << 16, 1 << 22  # joined if no further apart; at most so many bytes at once
+TASK = 1 << 24  # compressed bytes that a task reads
 WRITTEN_AT = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, digest string, record_type string, refers_to long"
@@ -144,7 +145,9 @@ def ranges(rows: list[tuple[str, int, int]]) -> list[tuple[str, int, int, list[i
 def read_records(selected: DataFrame) -> DataFrame:
     """The records of selected index rows: page_id, url, record_type, refers_to, the
     header's digest and full payload length, and the payload (null for revisits)."""
-    rows = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    rows = selected.select("file", "offset", "length")
+    parts = max(1, -(-(rows.agg(F.sum("length")).first()[0] or 0) // TASK))
+    rows = rows.repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches):
         from pyarrow import fs
