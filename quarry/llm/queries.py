@@ -14,18 +14,36 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.katz import scores
+
+    return scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lines import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_blocks import pack_blocks
 
     return pack_blocks(table(spark, sf_dir, "documents"))[0]
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontaminate import find_passages
+
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.language import identify, trained
 
@@ -64,7 +82,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op3_best_fit_packing, op5_token_blocks, op7_language_id, op8_toxicity, op9_exact_topk, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_katz_scores, op3_best_fit_packing, op4_line_dedup, op5_token_blocks, op6_decontamination, op7_language_id, op8_toxicity, op9_exact_topk, op10_warc)}
 
 ORACLE_SQL = {
     "op1_minhash_dedup": r"""
@@ -77,9 +95,9 @@ ORACLE_SQL = {
         n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
         e AS (SELECT doc_id, unnest(sh) AS x FROM s),
         p AS (
-            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+            SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS inter FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
         l AS (
-            SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * both >= 80 * (a.n + b.n - both)),
+            SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * inter >= 80 * (a.n + b.n - inter)),
         ll AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
         r AS (
             SELECT doc_id AS u, doc_id AS v FROM n UNION SELECT r.u, ll.v FROM r JOIN ll ON r.v = ll.u)
