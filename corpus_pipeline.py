@@ -1,5 +1,65 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: language ID, line dedup, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
+kept; all but the last return the columns of ``documents``. ``run`` writes each
+stage's result as Parquet in the shared folder and gives it, read again, to the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.common import table, written
+from quarry.llm.decontaminate import decontaminated
+from quarry.llm.language import identify, trained
+from quarry.llm.lines import without_repeats
+from quarry.llm.minhash import deduplicated
+from quarry.llm.packing import pack_documents
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without a letter, or too far from every
+    language's centroids, go."""
+    found = identify(docs, trained(docs))
+    return found.filter(~F.col("lang_rejected")).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds; a document of which
+    nothing is left stays, empty."""
+    return without_repeats(docs).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates on five-word shingles."""
+    return deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all token pieces in sequences of at most 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: Centroids, MinHash and packing aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
