@@ -147,7 +147,7 @@ class Items:
                 now = padded[at]
                 if sampled[s]:
                     key = key * np.uint64(0x9E3779B97F4A7C15) + now
-                at += (now * factors[s]) >> np.uint32(31)  # a bit of step and word
+                at += ((now + np.uint32(1)) * factors[s]) >> np.uint32(31)  # a bit of step and word
             yield key
 
     def part(self, n: int) -> int:

@@ -21,6 +21,8 @@ from quarry.llm.common import dropped, written
 from quarry.llm.tokens import MAX_TOKENS, tokenize
 
 SHARD = 4096
+#: The emptiest bins, which a round of the search takes from.
+SOURCES = 64
 #: Bins with more than this part of the capacity free are packed again with those of other shards.
 SLACK = 1 / 128
 
@@ -41,7 +43,7 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _step(source: list[tuple[int, int]], others: list[list], capacity: int) -> bool:
-    """One exchange that takes tokens out of ``source`` into a bin at least as full.
+    """One exchange that takes tokens out of ``source`` and makes the sum of squares grow.
 
     others: [fill, pieces] in which pieces are (length, index), sorted as in source."""
     fill = sum(n for n, _ in source)
@@ -50,9 +52,10 @@ def _step(source: list[tuple[int, int]], others: list[list], capacity: int) -> b
         for other in others:
             have, pieces = other
             room = capacity - have
-            if not room or have < fill:
+            if not room:
                 continue
-            if x[0] <= room:  # move
+            least = fill - have  # squares grow by taking over more than the bins differ by
+            if x[0] <= room and x[0] > least:  # move
                 best = max(best or (0,), (x[0], 2, have, id(other)), key=lambda t: t[:3])
                 if best[3] == id(other):
                     chosen = other, ()
@@ -60,7 +63,7 @@ def _step(source: list[tuple[int, int]], others: list[list], capacity: int) -> b
             at = bisect_left(pieces, (x[0] - room, -1))
             if at < len(pieces) and pieces[at][0] < x[0]:  # one for one
                 gain = x[0] - pieces[at][0]
-                if best is None or (gain, 1) > best[:2]:
+                if gain > least and (best is None or (gain, 1) > best[:2]):
                     best, chosen = (gain, 1, have, id(other)), (other, (pieces[at],))
             for k, y in enumerate(pieces):  # two for one
                 if 2 * y[0] >= x[0]:
@@ -68,7 +71,7 @@ def _step(source: list[tuple[int, int]], others: list[list], capacity: int) -> b
                 at = bisect_left(pieces, (x[0] - room - y[0], -1), k + 1)
                 if at < len(pieces) and y[0] + pieces[at][0] < x[0]:
                     gain = x[0] - y[0] - pieces[at][0]
-                    if best is None or (gain, 0) > best[:2]:
+                    if gain > least and (best is None or (gain, 0) > best[:2]):
                         best, chosen = (gain, 0, have, id(other)), (other, (y, pieces[at]))
         if best is not None:
             other, back = chosen
@@ -86,15 +89,20 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> li
     """Empty bins as long as the free space could hold one, the emptiest first."""
     done = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     open_ = [[sum(lengths[i] for i in b), sorted((lengths[i], i) for i in b)] for b in bins if sum(lengths[i] for i in b) < capacity]
-    stuck: list[list] = []
-    while len(open_) > 1 and sum(capacity - fill for fill, _ in open_ + stuck) >= capacity:
-        open_.sort(key=lambda b: (-b[0], b[1][:1]))
-        fill, source = open_.pop()
-        while source and _step(source, open_, capacity):
-            pass
-        if source:
-            stuck.append([sum(n for n, _ in source), source])
-    return done + [[i for _, i in reversed(pieces)] for _, pieces in open_ + stuck]
+    changed = True
+    while changed and len(open_) > 1:
+        changed = False
+        open_.sort(key=lambda b: (b[0], b[1]))
+        for one in open_[:SOURCES]:
+            if sum(capacity - fill for fill, _ in open_) < capacity:
+                break
+            others = [b for b in open_ if b is not one]
+            while one[1] and _step(one[1], others, capacity):
+                changed = True
+            one[0] = sum(n for n, _ in one[1])
+            if not one[1]:
+                open_ = others
+    return done + [[i for _, i in reversed(pieces)] for _, pieces in open_]
 
 
 def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:

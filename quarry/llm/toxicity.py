@@ -27,6 +27,8 @@ WORD_BUCKETS, GRAM_BUCKETS, GRAM = 1 << 14, 1 << 18, 5
 #: Labelled rows that are fitted on at most, of either label.
 MAX_TOXIC, MAX_CLEAN = 800, 1200
 ROUNDS, RATE, BATCH = 6, 0.02, 128
+#: Steps at least, so that few rows are gone over more often.
+STEPS = 220
 THRESHOLD = 0.7
 #: Words whose inputs a worker remembers.
 REMEMBERED_WORDS = 250_000
@@ -252,6 +254,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, seed
     odds = np.concatenate([np.zeros((1, 3), np.float32), *[f[3] for f in fixed]])
     rank = odds[every][..., :2].sum(axis=2).max(axis=1)  # of windows, before there is a net
     rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
+    rounds = max(rounds, -(-STEPS // (-(-3 * len(y) // BATCH))))
     for lap in range(rounds):
         if lap:
             rank = _all_logits(net, names, every)
