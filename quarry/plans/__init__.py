@@ -1 +1 @@
-
+"""Plans that join operators."""

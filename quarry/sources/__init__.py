@@ -1 +1 @@
-
+"""Readers, writers and the page API."""
