@@ -15,13 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, written
+from quarry.llm.common import chunks, dropped, free_shuffles, written
 
 ROLL, DIVISOR = 1, 2
 #: A chunk of one line counts as a passage from so many words on.
 LONG_LINE_WORDS = 50
 #: Lines that a removed chunk may grow by on either side.
-REACH = 8
+REACH = 5
 
 _MASK = (1 << 64) - 1
 CHUNKS = "doc_id long, whole long, first int, n_lines int, n_words int, chunk binary, before array<binary>, after array<binary>, body string"
@@ -80,13 +80,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     The first occurrence, by doc_id (null last) and place, stays. Rows equal in doc_id
     and text are one document and lose the same lines."""
-    spread, _ = written(_chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "chunks")
+    spread, spread_at = written(_chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "chunks")
     at = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "whole", "first")
     firsts = spread.groupBy("chunk").agg(F.count("*").alias("n"), F.min(at).alias("at")).filter("n > 1").select("chunk", "at")
-    both = spread.join(firsts, "chunk").withColumn("is_first", at.eqNullSafe(F.col("at")))
+    both, both_at = written(spread.join(firsts.hint("merge"), "chunk").withColumn("is_first", at.eqNullSafe(F.col("at"))).drop("at"), "repeats")
+    dropped(docs.sparkSession, spread_at)
+    free_shuffles(docs.sparkSession)
     kept = both.filter("is_first").select("chunk", F.col("body").alias("body_0"), F.col("before").alias("before_0"), F.col("after").alias("after_0"))
     kept = kept.dropDuplicates(["chunk"])
-    same = both.filter("not is_first").drop("at", "is_first").join(kept, "chunk").filter(F.col("body") == F.col("body_0"))
+    same = both.filter("not is_first").join(kept.hint("merge"), "chunk").filter(F.col("body") == F.col("body_0"))
 
     def alike(mine: str, other: str):
         """How many lines on this side follow as they do in the first occurrence."""
@@ -95,7 +97,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.get(off, 0)["i"], F.least(F.size(mine), F.size(other)))
 
     back, on = alike("before", "before_0"), alike("after", "after_0")
-    return same.select("doc_id", "whole", (F.col("first") - back).alias("first"), (F.col("n_lines") + back + on).alias("n"))
+    out, _ = written(same.select("doc_id", "whole", (F.col("first") - back).alias("first"), (F.col("n_lines") + back + on).alias("n")), "runs")
+    dropped(docs.sparkSession, both_at)
+    free_shuffles(docs.sparkSession)
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -107,7 +112,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.drop("lines_removed")
     gone = repeated_lines(docs).groupBy("doc_id", "whole").agg(F.collect_list(F.struct("first", "n")).alias("_runs"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("whole").alias("_whole"), "_runs")
-    keyed = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_whole("text") == F.col("_whole")), "left").drop("_doc", "_whole")
+    # the same join at every size: what is to be cut has no bound
+    keyed = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_whole("text") == F.col("_whole")), "left").drop("_doc", "_whole")
 
     @F.pandas_udf("text string, n int")
     def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -122,11 +128,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(("\n".join([s for k, s in enumerate(lines) if k not in drop]), len(drop)))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    some = F.col("_runs").isNotNull()
-    columns = docs.columns
-    changed = keyed.filter(some).withColumn("_cut", cut(F.col("text").cast("string"), "_runs"))
-    changed = changed.withColumn("text", F.col("_cut.text")).withColumn("lines_removed", F.col("_cut.n"))
+    some, columns = F.col("_runs").isNotNull(), docs.columns
+    out = keyed.withColumn("_cut", cut(F.when(some, F.col("text").cast("string")), "_runs"))  # other texts stay where they are
+    out = out.withColumn("text", F.when(some, F.col("_cut.text")).otherwise(F.col("text"))).withColumn("lines_removed", F.col("_cut.n"))
     if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    same = keyed.filter(~some).withColumn("lines_removed", F.lit(0))
-    return same.select(*columns, "lines_removed").unionByName(changed.select(*columns, "lines_removed"))
+        out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns, "lines_removed")
