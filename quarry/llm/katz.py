@@ -32,11 +32,11 @@ K = 5
 #: Factor of larger counts, so that a context of frequent words alone leaves something for others.
 LARGE = 0.999
 #: Tokens that a task holds, and a word's or context's from which it is dealt by both.
-TASK_TOKENS, HOT_TOKENS, BUFFER_TOKENS = 8_000_000, 1_000_000, 1_500_000
+TASK_TOKENS, HOT_TOKENS, BUFFER_TOKENS = 2_000_000, 500_000, 500_000
 #: Times the documents are read; each deals its share of the parts, so that shuffle
 #: files of only one share exist at a time.
-ROUNDS = 2
-REMEMBERED_WORDS = 400_000
+ROUNDS = 1
+REMEMBERED_WORDS = 150_000
 _FACTOR = np.int64(-7046029254386353131)
 
 
@@ -153,8 +153,9 @@ def unigrams(docs: DataFrame) -> tuple[DataFrame, Unigrams]:
 
 
 DEALT = "part int, blob binary"
-#: kind 0: sums of a document; 1: model rows; 2: held-out occurrences; 3: sums of a hot context; 4: counts of counts
-FOUND = "kind int, part int, blob binary, a long, sums array<double>"
+#: kind 0: sums of documents; 1: the model, contexts with counts and unigram counts of their
+#: words, whose names (32 bits of their hashes) stand in words; 2: held-out occurrences; 3: sums of a hot context; 4: counts of counts
+FOUND = "kind int, part int, blob binary, a long, sums array<double>, words binary"
 
 
 def _dealt(docs: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
@@ -171,16 +172,17 @@ def _dealt(docs: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
             h[1:] = w[:-1]
             h[np.cumsum(n) - n] = START
             part = u.part(w, h)
-            for p in range(turn, u.parts, rounds):
-                at = np.flatnonzero(part == p)
-                if not len(at):
-                    continue
-                at = at[np.argsort(w[at], kind="stable")]
+            mine = np.flatnonzero(part % rounds == turn)
+            mine = mine[np.lexsort((w[mine], part[mine]))]
+            ends = np.flatnonzero(np.append(part[mine][1:] != part[mine][:-1], len(mine) > 0)) + 1
+            names, blobs = [], []
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                at = mine[a:b]
                 ws, runs = np.unique(w[at], return_counts=True)
                 ds, local = np.unique(doc[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p], pa.int32()), pa.array([_packed(ws, runs.astype(np.uint32), h[at], local.astype(np.uint16), keys[ds], out[ds])], pa.binary())], ["part", "blob"]
-                )
+                names.append(int(part[at[0]]))
+                blobs.append(_packed(ws, runs.astype(np.uint32), h[at], local.astype(np.uint16), keys[ds], out[ds]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return docs.mapInArrow(each, DEALT)
 
@@ -199,62 +201,72 @@ def _weighed(dealt: DataFrame, table: DataFrame, u: Unigrams) -> DataFrame:
             h = np.concatenate([g[2] for g in got])
             doc = np.concatenate([g[3].astype(np.int32) + b for g, b in zip(got, base[:-1], strict=True)])
             del got
-            cw = np.zeros(len(w), np.int64)
-            order = np.argsort(counts.w.to_numpy(np.int64))
-            names, many = counts.w.to_numpy(np.int64)[order], counts.c.to_numpy(np.int64)[order]
+            order = np.lexsort((h, w))
+            w, h, doc = w[order], h[order], doc[order]
+            del order
+            new = np.append(True, (w[1:] != w[:-1]) | (h[1:] != h[:-1]))
+            gram = (np.cumsum(new) - 1).astype(np.int32)
+            gw, gh = w[new], h[new]
             hot = np.fromiter(u.hot, np.int64, len(u.hot))
-            names, many = np.concatenate([names, hot]), np.concatenate([many, np.fromiter(u.hot.values(), np.int64, len(hot))])
+            names, many = np.concatenate([counts.w.to_numpy(np.int64), hot]), np.concatenate([counts.c.to_numpy(np.int64), np.fromiter(u.hot.values(), np.int64, len(hot))])
             order = np.argsort(names, kind="stable")
             names, many = names[order], many[order]
-            at = np.minimum(np.searchsorted(names, w), len(names) - 1)
-            cw = np.where(names[at] == w, many[at], 0)
-            order = np.lexsort((h, w))
-            ws, hs = w[order], h[order]
-            new = np.append(True, (ws[1:] != ws[:-1]) | (hs[1:] != hs[:-1]))
-            gram = np.cumsum(new) - 1
-            of = np.empty(len(w), np.int64)
-            of[order] = gram
+            at = np.minimum(np.searchsorted(names, gw), len(names) - 1)
+            gcw = np.where(names[at] == gw, many[at], 0)
             learn = ~outs[doc]
-            c = np.bincount(of[learn], minlength=gram[-1] + 1)
-            gw, gh, gcw = ws[new], hs[new], cw[order][new]
+            c = np.bincount(gram[learn], minlength=len(gw))
             seen = np.flatnonzero(c)
-            rows.append((4, 0, None, 0, [float((c == k).sum()) for k in range(1, K + 2)]))
+            rows.append((4, 0, None, 0, [float((c == k).sum()) for k in range(1, K + 2)], None))
             # documents: known words, base sum, tokens in bigrams of each low count, log10 of larger counts less contexts'
-            mine = c[of]
+            mine, cw = c[gram], gcw[gram]
             logs = np.where(mine > K, np.log10(LARGE * np.maximum(mine, 1)), 0.0) - np.where((w != END) & (cw > 0), np.log10(np.maximum(cw, 1)), 0.0)
             n_docs = len(keys)
             sums = [np.bincount(doc, weights=(cw > 0), minlength=n_docs), np.bincount(doc, weights=np.log10(cw + 0.1), minlength=n_docs), np.bincount(doc, weights=logs, minlength=n_docs)]
             sums += [np.bincount(doc[mine == k], minlength=n_docs).astype(float) for k in range(1, K + 1)]
-            rows += [(0, 0, None, int(k), s) for k, s in zip(keys, np.stack(sums, axis=1).tolist(), strict=True)]
+            rows.append((0, 0, _packed(keys, *sums), 0, None, None))
+            del sums, logs
             # the model, by context
             to = u.part(gh[seen], gw[seen])
             for p in np.unique(to).tolist():
                 at = seen[to == p]
                 at = at[np.argsort(gh[at], kind="stable")]
                 hp, runs = np.unique(gh[at], return_counts=True)
-                rows.append((1, p, _packed(hp, runs.astype(np.uint32), gw[at], c[at].astype(np.uint32), gcw[at]), 0, None))
+                rows.append((1, p, _packed(hp, runs.astype(np.uint32), c[at].astype(np.uint32), gcw[at]), 0, None, _packed(gw[at].astype(np.uint32))))
             for one in u.hot:
                 at = seen[gh[seen] == one]
                 if len(at):
                     low = [float((c[at] == k).sum()) for k in range(1, K + 1)]
-                    rows.append((3, 0, None, one, [*low, float(c[at][c[at] > K].sum()), float(u.p(gcw[at]).sum()), float(c[at].sum())]))
+                    rows.append((3, 0, None, one, [*low, float(c[at][c[at] > K].sum()), float(u.p(gcw[at]).sum()), float(c[at].sum())], None))
             test = np.flatnonzero(~learn)
             to = u.part(h[test], w[test])
             for p in np.unique(to).tolist():
                 at = test[to == p]
                 ds, local = np.unique(doc[at], return_inverse=True)
-                rows.append((2, p, _packed(h[at], mine[at].astype(np.uint32), cw[at], local.astype(np.uint32), keys[ds]), 0, None))
-        return pd.DataFrame(rows, columns=["kind", "part", "blob", "a", "sums"])
+                rows.append((2, p, _packed(h[at], mine[at].astype(np.uint32), cw[at], local.astype(np.uint32), keys[ds]), 0, None, None))
+        return pd.DataFrame(rows, columns=["kind", "part", "blob", "a", "sums", "words"])
 
     mine = table.filter(~F.col("w").isin(list(u.hot)) if len(u.hot) < 1000 else F.lit(True)).withColumn("part", F.pmod("w", F.lit(u.parts)).cast("int"))
     return dealt.groupBy("part").cogroup(mine.groupBy("part")).applyInPandas(fold, FOUND)
 
 
+def _document_sums(found: DataFrame) -> DataFrame:
+    """(a, s0 ...) of all parts, added up."""
+    names = [f"s{k}" for k in range(K + 3)]
+
+    def each(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpacked(blob, "i8" + " f8" * (K + 3))], ["a", *names])
+
+    rows = found.filter("kind = 0").select("blob").mapInArrow(each, "a long, " + ", ".join(f"{n} double" for n in names))
+    return rows.groupBy("a").agg(*(F.sum(n).alias(n) for n in names))
+
+
 def _backed_off(found: DataFrame, u: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float]]) -> DataFrame:
     """(a, score): what the held-out occurrences of a part of contexts add to a document."""
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model = [_unpacked(b, "i8 u4 i8 u4 i8") for b in pdf.blob[pdf.kind == 1]]
+        model = [_unpacked(b, "i8 u4 u4 i8") for b in pdf.blob[pdf.kind == 1]]
         test = [_unpacked(b, "i8 u4 i8 u4 i8") for b in pdf.blob[pdf.kind == 2]]
         if not test:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
@@ -264,7 +276,7 @@ def _backed_off(found: DataFrame, u: Unigrams, d: np.ndarray, hot: dict[int, tup
         doc, keys = np.concatenate([t[3] + b for t, b in zip(test, base[:-1], strict=True)]).astype(np.int64), np.concatenate([t[4] for t in test])
         names, c_h, alpha = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         if model:
-            mh, mc, mw = np.concatenate([np.repeat(m[0], m[1]) for m in model]), np.concatenate([m[3] for m in model]).astype(np.int64), np.concatenate([m[4] for m in model])
+            mh, mc, mw = np.concatenate([np.repeat(m[0], m[1]) for m in model]), np.concatenate([m[2] for m in model]).astype(np.int64), np.concatenate([m[3] for m in model])
             names, at = np.unique(mh, return_inverse=True)
             c_h, kept, below = (np.bincount(at, weights=x) for x in (mc, discounted(mc, d), u.p(mw)))
             alpha = weight(kept / c_h, below)
@@ -307,6 +319,7 @@ def scores(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame
         part, _ = written(_weighed(_dealt(keyed, u, turn, min(rounds, u.parts)), table, u), "katz")
         found = part if found is None else found.unionByName(part)
         free_shuffles(spark)
+    free_shuffles(spark)
     of = [0.0] * (K + 1)
     for r in found.filter("kind = 4").select("sums").toLocalIterator():  # a row for each part
         of = [x + y for x, y in zip(of, r["sums"], strict=True)]
@@ -318,7 +331,7 @@ def scores(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame
         hot[r["a"]] = (r[f"s{K + 2}"], float(weight(np.array([kept / r[f"s{K + 2}"]]), np.array([r[f"s{K + 1}"]]))[0]))
     extra = _backed_off(found, u, d, hot)
     low = sum((F.col(f"s{k + 3}") * float(np.log10(d[k + 1] * (k + 1))) for k in range(K)), F.col("s2"))
-    own = found.filter("kind = 0").groupBy("a").agg(*sums).select("a", "s0", "s1", low.alias("seen"))
+    own = _document_sums(found).select("a", "s0", "s1", low.alias("seen"))
     late = extra.groupBy("a").agg(F.sum("score").alias("late"))
     many = keyed.groupBy("a").agg(F.count("*").alias("rows"))
     of_doc = own.join(many, "a").join(late, "a", "left").select("a", *(F.expr(f"{c} / rows").alias(c) for c in ("s0", "s1", "seen", "late")))
