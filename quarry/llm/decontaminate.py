@@ -263,4 +263,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which a benchmark item is found. Rows with a null
     doc_id stay."""
     found = find_passages(docs, benchmark).filter("doc_id is not null").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)

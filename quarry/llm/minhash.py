@@ -4,32 +4,37 @@ Every document gets ``BANDS * ROWS`` minima of universal hashes over its shingle
 Documents with equal shingle sets become one representative. Representatives that
 agree in a band meet in that band's bucket, where each is compared with the bucket's
 hub alone, not with every other member: first by signature, then on full shingle sets.
-Members that a hub doesn't hold meet again with more hubs, until a bucket is used up,
-and pairs that only the triangle inequality leaves open are looked at last. Confirmed
-links are joined into components by large-star and small-star steps.
+Members that a hub doesn't hold are then compared by signature among themselves and,
+if near enough, with those that it holds, block by block, unless links found so far
+already join them; likely links alone leave a block and are confirmed. Links are
+joined into components by large-star and small-star steps.
 
-With 40 bands of 5 rows two documents of similarity 0.8 share a bucket with
-probability 1 - (1 - 0.8**5)**40 > 1 - 2e-7.
+With 46 bands of 6 rows two documents of similarity 0.8 share a bucket with
+probability 1 - (1 - 0.8**6)**46 > 1 - 1e-6.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.common import chunks, dropped, free_shuffles, words, written
 from quarry.llm.components import components
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 46, 6
 SEED = 20_240_601
 #: Signatures that agree in less than this part are of pairs under the similarity
-#: (six standard deviations under it, at 200 minima).
-PART = 0.60
+#: (six standard deviations under it, at 276 minima).
+PART = 0.656
+#: The same within cells, three standard deviations under the similarity.
+CELL_PART = 0.728
+#: Members of a side of a cell, on average.
+BLOCK = 512
 REMEMBERED_WORDS = 400_000
 
 
@@ -63,18 +68,19 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
 
 
 def universal(n: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Factors and terms of n hashes (a * x + b mod 2**64) >> 32, strongly universal for 32-bit x."""
+    """Odd factors and terms of n multiply-shift hashes a * x + b mod 2**32, universal in
+    their upper bits, which decide which of a set's members is the least."""
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 64, n, np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, n, np.uint64)
+    return rng.integers(0, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x, least = shingles >> np.uint64(32), np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(x), 1024):
-        h = np.multiply.outer(a, x[at : at + 1024])
+    x, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(x), 512):
+        h = np.multiply.outer(a, x[at : at + 512])
         h += b[:, None]
         np.minimum(least, h.min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return least
 
 
 def signatures(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -89,7 +95,7 @@ def signatures(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) ->
                 m = minima(s, a, b)
                 out[0].append(len(s))
                 out[1].append(xxhash.xxh3_128_digest(s.tobytes()))
-                out[2].append(m.astype("<u2").tobytes())
+                out[2].append((m >> np.uint32(12)).astype("<u2").tobytes())
                 out[3].append([xxhash.xxh3_64_intdigest(m[k * rows : (k + 1) * rows].tobytes(), seed=k) - (1 << 63) for k in range(bands)] if len(s) else [])
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_shingles", "print", "sig", "bands"])
@@ -149,44 +155,31 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ban
     alike = there.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("print", "rep")
     member, _ = written(there.select("doc_id", "print").join(alike, "print").filter("doc_id <> rep").select("doc_id", "rep").distinct(), "members")
     reps = there.join(member.select("doc_id"), "doc_id", "left_anti")
-    active, active_at = written(reps.select(F.explode("bands").alias("key"), "doc_id"), "bands")
+    single = reps.select(F.explode("bands").alias("key"), "doc_id")
+    shared = single.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met, met_at = written(single.join(shared, "key").distinct(), "buckets")
     free_shuffles(spark)
 
-    tested, hubs, paths = None, 1, []
-    while True:
-        if hubs == 1:
-            order = F.struct(F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("hub"))
-            top = active.groupBy("key").agg(F.min(order).alias("h"), F.max("doc_id").alias("b"), F.min("doc_id").alias("a")).filter("a <> b").select("key", F.col("h.hub").alias("hub"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id"))
-            top = active.withColumn("r", rank).filter(F.col("r") <= hubs).select("key", F.col("doc_id").alias("hub"))
-        met, met_at = written(active.join(top, "key").filter("hub <> doc_id").select("key", "hub", "doc_id").distinct(), "met")
-        dropped(spark, active_at)
-        pairs = met.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-        if tested is not None:  # in either order
-            seen = tested.select("u", "v").unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            pairs = pairs.join(seen, ["u", "v"], "left_anti")
-        likely, likely_at = written(_agree(pairs, signed, PART - 0.15), "likely")
-        now, now_at = written(_confirmed(likely, docs, n), "confirmed")
-        dropped(spark, likely_at)
-        paths.append(now_at)
-        tested = now if tested is None else tested.unionByName(now)
-        # who isn't held by a hub of a bucket stays there, without the hubs
-        linked = tested.filter(F.col("both") * 100 >= F.col("either") * percent)
-        linked = linked.select(F.col("u").alias("hub"), F.col("v").alias("doc_id")).unionByName(linked.select(F.col("v").alias("hub"), F.col("u").alias("doc_id")))
-        used = met.join(linked, ["hub", "doc_id"]).select("key", "doc_id").unionByName(met.select("key", F.col("hub").alias("doc_id"))).distinct()
-        left = met.select("key", "doc_id").distinct().join(used, ["key", "doc_id"], "left_anti")
-        more = left.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        active, active_at = written(left.join(more, "key"), "active")
-        dropped(spark, met_at)
-        free_shuffles(spark)
-        if active.isEmpty():
-            break
-        hubs *= 4
-
-    edges = tested.filter(F.col("both") * 100 >= F.col("either") * percent).select("u", "v")
+    # a bucket's hub is the member that meets most others, most likely what the rest were copied from
+    company = met.groupBy("doc_id").agg(F.sum("n").alias("company"))
+    rank = F.max(F.struct("company", F.xxhash64("doc_id").alias("p"), F.col("doc_id").alias("hub")))
+    hubs = met.join(company, "doc_id").groupBy("key").agg(rank.alias("h")).select("key", F.col("h.hub").alias("hub"))
+    starred, starred_at = written(met.select("key", "doc_id").join(hubs, "key").filter("hub <> doc_id"), "stars")
+    dropped(spark, met_at)
+    pairs = starred.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
+    tested, _ = written(_confirmed(_agree(pairs, signed, PART), docs, n), "confirmed")
+    good = F.col("both") * 100 >= F.col("either") * percent
+    edges = tested.filter(good).select("u", "v")
     found, _ = written(components(edges), "components")
-    late = _between(tested, found, signed, docs, n, percent)
+
+    # what a hub doesn't settle: members it doesn't hold, among themselves and against those it holds
+    held = edges.select(F.col("u").alias("hub"), F.col("v").alias("doc_id"))
+    open_ = starred.join(held, ["hub", "doc_id"], "left_anti").select(F.col("key").alias("group"), "doc_id")
+    far, d = 1 - percent / 100, 1 - F.col("both") / F.col("either")
+    stars = tested.withColumn("d", d).select(F.col("u").alias("group"), F.col("v").alias("doc_id"), "d", good.alias("good"))
+    parts = [_cells(open_, open_, found, signed), _cells(stars.filter(~F.col("good") & (F.col("d") <= 2 * far + 1e-9)), stars.filter("good"), found, signed)]
+    late, _ = written(_confirmed(parts[0].unionByName(parts[1]).distinct(), docs, n).filter(good).select("u", "v"), "late")
+    dropped(spark, starred_at)
     if not late.isEmpty():
         found, _ = written(components(edges.unionByName(late)), "components")
     to = signed.select("doc_id", "n_shingles").join(member, "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id")).join(found, "node", "left")
@@ -194,25 +187,37 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, ban
     return to.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
 
 
-def _between(tested: DataFrame, found: DataFrame, signed: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between a document x that a hub holds and a document y that it narrowly
-    doesn't. With d the Jaccard distance, d(x, y) <= t needs d(hub, x) >= d(hub, y) - t;
-    pairs that a component already joins are left out."""
-    far = 1 - percent / 100
-    d = 1 - F.col("both") / F.col("either")
-    both = tested.unionByName(tested.select(F.col("v").alias("u"), F.col("u").alias("v"), "both", "either")).withColumn("d", d)
-    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    near = both.filter(F.col("both") * 100 >= F.col("either") * percent).select("u", F.col("v").alias("x"), F.col("d").alias("dx")).join(of("x"), "x")
-    miss = both.filter((F.col("both") * 100 < F.col("either") * percent) & (F.col("d") <= 2 * far + 1e-9)).select("u", F.col("v").alias("y"), F.col("d").alias("dy"))
-    miss = miss.join(of("y"), "y", "left").withColumn("c_y", F.coalesce("c_y", "y")).join(of("u"), "u").filter("c_u <> c_y")
-    pairs = miss.join(near, "u").filter((F.col("c_x") != F.col("c_y")) & (F.col("dx") >= F.col("dy") - far - 1e-9)).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
-    pairs = pairs.join(both.select("u", "v"), ["u", "v"], "left_anti")
-    out, _ = written(_confirmed(_agree(pairs, signed, PART), docs, n), "late")
-    return out.filter(F.col("both") * 100 >= F.col("either") * percent).select("u", "v")
+def _cells(left: DataFrame, right: DataFrame, found: DataFrame, signed: DataFrame, part: float = CELL_PART) -> DataFrame:
+    """Likely links (u, v) of the left with the right members (group, doc_id) of a group
+    that no component joins yet. Both sides are dealt into blocks, so that a task holds
+    two blocks whatever the group's size; only likely links come out of it."""
+    joined = found.select(F.col("node").alias("doc_id"), "component")
+    of = lambda side: side.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left, right = of(left.select("group", "doc_id")), of(right.select("group", "doc_id"))
+    size = lambda side, name: side.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name), F.min("component").alias(f"a_{name}"), F.max("component").alias(f"b_{name}"))
+    sizes = size(left, "n_left").join(size(right, "n_right"), "group").filter("a_n_left <> b_n_left or a_n_right <> b_n_right or a_n_left <> a_n_right").select("group", "n_left", "n_right")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
+    a = left.join(sizes, "group").select("group", block("n_left").alias("i"), every("n_right").alias("j"), "doc_id", "component", F.lit(True).alias("is_left"))
+    b = right.join(sizes, "group").select("group", every("n_left").alias("i"), block("n_right").alias("j"), "doc_id", "component", F.lit(False).alias("is_left"))
+    rows = a.unionByName(b).join(signed.select("doc_id", "sig").filter("doc_id is not null"), "doc_id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf.is_left], pdf[~pdf.is_left]
+        out = []
+        if len(x) and len(y):
+            sig = lambda side: np.frombuffer(b"".join(side.sig), "<u2").reshape(len(side), -1)
+            sx, sy, cy, iy = sig(x), sig(y), y.component.to_numpy(), y.doc_id.to_numpy()
+            for one, c, doc in zip(sx, x.component, x.doc_id, strict=True):
+                at = np.flatnonzero((cy != c) & ((sy == one).mean(axis=1) >= part))
+                out += [(min(doc, v), max(doc, v)) for v in iy[at].tolist()]
+        return pd.DataFrame(list(dict.fromkeys(out)), columns=["u", "v"]).astype("int64")
+
+    return rows.groupBy("group", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
 
 def deduplicated(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of near-duplicates other than each component's first.
     Rows with a null doc_id stay."""
     gone = near_duplicates(docs, n, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
