@@ -382,7 +382,7 @@ def media_filter(spark, d):
     return t(spark, d, "documents").select("doc_id", T.is_media_page(title).alias("media"))
 
 
-@query("roman_number", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 4 WHEN 1 THEN 9 WHEN 2 THEN CAST(p_size AS INTEGER) WHEN 3 THEN NULL WHEN 4 THEN 11 ELSE 40 END AS n FROM part""")
+@query("roman_number", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 4 WHEN 1 THEN 9 WHEN 2 THEN CAST(p_size AS INTEGER) WHEN 3 THEN 0 WHEN 4 THEN 11 ELSE 40 END AS n FROM part""")
 def roman_number(spark, d):
     label = F.when(F.col("p_partkey") % 6 == 4, F.lit("XI")).when(F.col("p_partkey") % 6 == 0, F.lit("bb IV")).when(F.col("p_partkey") % 6 == 1, F.lit("bb ix")).when(F.col("p_partkey") % 6 == 2, F.concat(F.lit("bb "), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 6 == 3, F.lit("boo 0")).otherwise(F.lit("XL"))
     return t(spark, d, "part").select("p_partkey", T.chapter_number(label).alias("n"))

@@ -46,10 +46,9 @@ def one(spark, col):
     return spark.range(1).select(col.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("label, n", [("Canto IV", 4), ("XIV", 14), ("12", 12), ("MAXI", 11), ("CANTO", None), ("0", None), ("x 7 y", 10)])
+@pytest.mark.parametrize("label, n", [("Canto IV", 4), ("XIV", 14), ("12", 12), ("MAXI", 11), ("CANTO", None), ("0", 0), ("x 7 y", 10)])
 def test_chapter_number(spark, label, n):
-    text = label if label != "CANTO" else "zzz"
-    assert one(spark, T.chapter_number(F.lit(text))) == n
+    assert one(spark, T.chapter_number(F.lit(label))) == n
 
 
 def test_chapters_in_order(spark):
