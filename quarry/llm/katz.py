@@ -290,7 +290,8 @@ def _backed_off(found: DataFrame, u: Unigrams, d: np.ndarray, hot: dict[int, tup
         there = names[k] == h if len(names) else np.zeros(len(h), bool)
         many, a = (np.where(there, x[k], 1.0) if len(names) else np.ones(len(h)) for x in (c_h, alpha))
         p = np.where(mine > 0, discounted(mine, d) / many, a * u.p(cw))
-        return pd.DataFrame({"a": keys, "score": np.bincount(doc, weights=np.log10(p), minlength=len(keys))})
+        keys, at = np.unique(keys, return_inverse=True)  # a document comes from many parts of words
+        return pd.DataFrame({"a": keys, "score": np.bincount(at[doc], weights=np.log10(p), minlength=len(keys))})
 
     return found.filter("kind in (1, 2)").select("kind", "part", "blob").groupBy("part").applyInPandas(fold, "a long, score double")
 
