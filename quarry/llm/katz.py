@@ -11,6 +11,10 @@ compressed columns, so that a task meets all contexts of a word and knows the wo
 count; from there the counted bigrams, which are the model's table, and the held-out
 occurrences are dealt by context, where backoff weights are found and applied. Words
 and contexts that alone would fill a good part of a task are dealt by both.
+
+Documents are read in buffers of about ``BUFFER_TOKENS``. A document is known by its
+buffer and its place there, and what all parts have found goes back by buffer, in
+columns, so that no row for each document and part is ever made.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,11 +118,11 @@ class Unigrams:
 
 
 def _buffers(batches):
-    """Keys, held-out flags and token arrays of some documents at a time."""
+    """doc_ids, held-out flags and token arrays of some documents at a time."""
     held, n = [], 0
     for batch in chunks(batches, 500):
-        for key, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held.append((key, out, np.append(tokens(text), END)))
+        for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held.append((doc_id, out, np.append(tokens(text), END)))
             n += len(held[-1][2])
             if n >= BUFFER_TOKENS or len(held) == 65_000:
                 yield held
@@ -152,9 +157,14 @@ def unigrams(docs: DataFrame) -> tuple[DataFrame, Unigrams]:
     return table, Unigrams(total, distinct, d, hot, unknown, parts)
 
 
-DEALT = "part int, blob binary"
-#: kind 0: sums of documents; 1: the model, contexts with counts and unigram counts of their
-#: words, whose names (32 bits of their hashes) stand in words; 2: held-out occurrences; 3: sums of a hot context; 4: counts of counts
+#: documents: of the whole buffer, in one of its rows alone
+DEALT = "part int, buffer long, blob binary, documents binary"
+DOCUMENTS = "i8 ? ? u4"  # doc_id, whether there is one, held out, tokens
+#: place, known words, tokens in bigrams of each low count, base sum, sum of logs
+SUMS = "u2 u4 " + "u4 " * K + "f8 f8"
+#: kind 0: SUMS of the documents of buffer a; 1: the model, contexts with counts and unigram counts of their
+#: words, whose names (32 bits of their hashes) stand in words; 2: held-out occurrences; 3: sums of a hot
+#: context; 4: counts of counts; 5: DOCUMENTS of buffer a
 FOUND = "kind int, part int, blob binary, a long, sums array<double>, words binary"
 
 
@@ -162,8 +172,8 @@ def _dealt(docs: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
     """Occurrences by word, in columns."""
 
     def each(batches):
-        for held in _buffers(batches):
-            keys = np.array([k for k, _, _ in held], np.int64)
+        of_task = TaskContext.get().partitionId() << 32
+        for buffer, held in enumerate(_buffers(batches), of_task):
             out = np.array([o for _, o, _ in held], bool)
             w = np.concatenate([t for _, _, t in held])
             n = np.array([len(t) for _, _, t in held])
@@ -175,14 +185,17 @@ def _dealt(docs: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
             mine = np.flatnonzero(part % rounds == turn)
             mine = mine[np.lexsort((w[mine], part[mine]))]
             ends = np.flatnonzero(np.append(part[mine][1:] != part[mine][:-1], len(mine) > 0)) + 1
-            names, blobs = [], []
+            ids = [k for k, _, _ in held]
+            documents = _packed(np.array([k or 0 for k in ids], np.int64), np.array([k is not None for k in ids]), out, n.astype(np.uint32))
+            least, names, blobs = int(part.min()), [], []
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 at = mine[a:b]
                 ws, runs = np.unique(w[at], return_counts=True)
                 ds, local = np.unique(doc[at], return_inverse=True)
                 names.append(int(part[at[0]]))
-                blobs.append(_packed(ws, runs.astype(np.uint32), h[at], local.astype(np.uint16), keys[ds], out[ds]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                blobs.append(_packed(ws, runs.astype(np.uint32), h[at], local.astype(np.uint16), ds, out[ds]))
+            columns = [pa.array(names, pa.int32()), pa.array([buffer] * len(names), pa.int64()), pa.array(blobs, pa.binary()), pa.array([documents if k == least else None for k in names], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "buffer", "blob", "documents"])
 
     return docs.mapInArrow(each, DEALT)
 
@@ -192,9 +205,11 @@ def _weighed(dealt: DataFrame, table: DataFrame, u: Unigrams) -> DataFrame:
 
     def fold(key: tuple, blobs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
-        got = [_unpacked(b, "i8 u4 i8 u2 i8 ?") for b in blobs.blob]
+        rows += [(5, 0, documents, buffer, None, None) for buffer, documents in zip(blobs.buffer.tolist(), blobs.documents, strict=True) if documents is not None]
+        got = [_unpacked(b, "i8 u4 i8 u2 u2 ?") for b in blobs.blob]
         if got:
-            keys = np.concatenate([g[4] for g in got])
+            place = np.concatenate([g[4] for g in got])
+            buffer = np.repeat(blobs.buffer.to_numpy(np.int64), [len(g[4]) for g in got])
             outs = np.concatenate([g[5] for g in got])
             base = np.cumsum([0, *(len(g[4]) for g in got)])
             w = np.concatenate([np.repeat(g[0], g[1]) for g in got])
@@ -220,10 +235,10 @@ def _weighed(dealt: DataFrame, table: DataFrame, u: Unigrams) -> DataFrame:
             # documents: known words, base sum, tokens in bigrams of each low count, log10 of larger counts less contexts'
             mine, cw = c[gram], gcw[gram]
             logs = np.where(mine > K, np.log10(LARGE * np.maximum(mine, 1)), 0.0) - np.where((w != END) & (cw > 0), np.log10(np.maximum(cw, 1)), 0.0)
-            n_docs = len(keys)
-            sums = [np.bincount(doc, weights=(cw > 0), minlength=n_docs), np.bincount(doc, weights=np.log10(cw + 0.1), minlength=n_docs), np.bincount(doc, weights=logs, minlength=n_docs)]
-            sums += [np.bincount(doc[mine == k], minlength=n_docs).astype(float) for k in range(1, K + 1)]
-            rows.append((0, 0, _packed(keys, *sums), 0, None, None))
+            n_docs = len(place)
+            sums = [place, *(np.bincount(doc[x], minlength=n_docs).astype(np.uint32) for x in (cw > 0, *(mine == k for k in range(1, K + 1))))]
+            sums += [np.bincount(doc, weights=x, minlength=n_docs) for x in (np.log10(cw + 0.1), logs)]
+            rows += [(0, 0, _packed(*(x[a:b] for x in sums)), int(buffer[a]), None, None) for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
             del sums, logs
             # the model, by context
             to = u.part(gh[seen], gw[seen])
@@ -242,38 +257,27 @@ def _weighed(dealt: DataFrame, table: DataFrame, u: Unigrams) -> DataFrame:
             for p in np.unique(to).tolist():
                 at = test[to == p]
                 ds, local = np.unique(doc[at], return_inverse=True)
-                rows.append((2, p, _packed(h[at], mine[at].astype(np.uint32), cw[at], local.astype(np.uint32), keys[ds]), 0, None, None))
+                rows.append((2, p, _packed(h[at], mine[at].astype(np.uint32), cw[at], local.astype(np.uint32), buffer[ds], place[ds]), 0, None, None))
         return pd.DataFrame(rows, columns=["kind", "part", "blob", "a", "sums", "words"])
 
     mine = table.filter(~F.col("w").isin(list(u.hot)) if len(u.hot) < 1000 else F.lit(True)).withColumn("part", F.pmod("w", F.lit(u.parts)).cast("int"))
     return dealt.groupBy("part").cogroup(mine.groupBy("part")).applyInPandas(fold, FOUND)
 
 
-def _document_sums(found: DataFrame) -> DataFrame:
-    """(a, s0 ...) of all parts, added up."""
-    names = [f"s{k}" for k in range(K + 3)]
-
-    def each(batches):
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpacked(blob, "i8" + " f8" * (K + 3))], ["a", *names])
-
-    rows = found.filter("kind = 0").select("blob").mapInArrow(each, "a long, " + ", ".join(f"{n} double" for n in names))
-    return rows.groupBy("a").agg(*(F.sum(n).alias(n) for n in names))
-
-
 def _backed_off(found: DataFrame, u: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float]]) -> DataFrame:
-    """(a, score): what the held-out occurrences of a part of contexts add to a document."""
+    """(a, late): what the held-out occurrences of a part of contexts add to the documents
+    of buffer a, by place."""
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         model = [_unpacked(b, "i8 u4 u4 i8") for b in pdf.blob[pdf.kind == 1]]
-        test = [_unpacked(b, "i8 u4 i8 u4 i8") for b in pdf.blob[pdf.kind == 2]]
+        test = [_unpacked(b, "i8 u4 i8 u4 i8 u2") for b in pdf.blob[pdf.kind == 2]]
         if not test:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "late": pd.Series(dtype=object)})
         base = np.cumsum([0, *(len(t[4]) for t in test)])
         h, mine, cw = (np.concatenate([t[k] for t in test]) for k in range(3))
         mine = mine.astype(np.int64)
-        doc, keys = np.concatenate([t[3] + b for t, b in zip(test, base[:-1], strict=True)]).astype(np.int64), np.concatenate([t[4] for t in test])
+        doc = np.concatenate([t[3] + b for t, b in zip(test, base[:-1], strict=True)]).astype(np.int64)
+        buffer, place = (np.concatenate([t[k] for t in test]) for k in (4, 5))
         names, c_h, alpha = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
         if model:
             mh, mc, mw = np.concatenate([np.repeat(m[0], m[1]) for m in model]), np.concatenate([m[2] for m in model]).astype(np.int64), np.concatenate([m[3] for m in model])
@@ -290,10 +294,38 @@ def _backed_off(found: DataFrame, u: Unigrams, d: np.ndarray, hot: dict[int, tup
         there = names[k] == h if len(names) else np.zeros(len(h), bool)
         many, a = (np.where(there, x[k], 1.0) if len(names) else np.ones(len(h)) for x in (c_h, alpha))
         p = np.where(mine > 0, discounted(mine, d) / many, a * u.p(cw))
-        keys, at = np.unique(keys, return_inverse=True)  # a document comes from many parts of words
-        return pd.DataFrame({"a": keys, "score": np.bincount(at[doc], weights=np.log10(p), minlength=len(keys))})
-
-    return found.filter("kind in (1, 2)").select("kind", "part", "blob").groupBy("part").applyInPandas(fold, "a long, score double")
+        late = np.bincount(doc, weights=np.log10(p), minlength=len(buffer))
+        order = np.lexsort((place, buffer))  # a document comes from many parts of words
+        buffer, place, late = buffer[order], place[order], late[order]
+        first = np.flatnonzero(np.append(True, (buffer[1:] != buffer[:-1]) | (place[1:] != place[:-1])))
+        late, buffer, place = np.add.reduceat(late, first), buffer[first], place[first]
+        ends = np.flatnonzero(np.append(buffer[1:] != buffer[:-1], True)) + 1
+        spans = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+        return pd.DataFrame({"a": [int(buffer[x]) for x, _ in spans], "late": [_packed(place[x:y], late[x:y]) for x, y in spans]})
+
+    return found.filter("kind in (1, 2)").select("kind", "part", "blob").groupBy("part").applyInPandas(fold, "a long, late binary")
+
+
+def _documents(found: DataFrame, extra: DataFrame, d: np.ndarray) -> DataFrame:
+    """A row for every document of a buffer, with the sums of all parts."""
+    low = [float(np.log10(d[k] * k)) for k in range(1, K + 1)]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, there, out, n = _unpacked(pdf.blob[pdf.kind == 5].iloc[0], DOCUMENTS)
+        known, base, seen, late = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+        # a place is there once in each blob
+        for blob in pdf.blob[pdf.kind == 0]:
+            place, k, *few, b, logs = _unpacked(blob, SUMS)
+            known[place] += k
+            base[place] += b
+            seen[place] += logs + sum(x * y for x, y in zip(few, low, strict=True))
+        for blob in pdf.blob[pdf.kind == 6]:
+            place, x = _unpacked(blob, "u2 f8")
+            late[place] += x
+        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), ~there), "held_out": out, "n_tokens": n.astype(np.int64), "n_known": known, "base": base, "seen": seen, "late": late})
+
+    rows = found.filter("kind in (0, 5)").select("kind", "a", "blob").unionByName(extra.select(F.lit(6).alias("kind"), "a", F.col("late").alias("blob")))
+    return rows.groupBy("a").applyInPandas(fold, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, seen double, late double")
 
 
 def weight(kept: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -308,16 +340,16 @@ def scores(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame
     one end; null text is empty. base_score: add-0.1 unigrams with one unknown word;
     score: log10 of the model's probability. A word unknown in training counts as the
     unknown word, in any context. Without training rows base_score is that of N = V = 0
-    and every token has probability 1. Rows equal in doc_id and text share their
-    scores; null doc_ids are allowed; other columns are ignored."""
+    and every token has probability 1. Repeated rows are rows of their own; null
+    doc_ids are allowed; other columns are ignored. A partition of ``docs`` must give
+    its rows in the same order whenever it is read, as files do; write others first."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("a"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
-    table, u = unigrams(keyed)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    table, u = unigrams(docs)
     free_shuffles(spark)
     found = None
     for turn in range(min(rounds, u.parts)):
-        part, _ = written(_weighed(_dealt(keyed, u, turn, min(rounds, u.parts)), table, u), "katz")
+        part, _ = written(_weighed(_dealt(docs, u, turn, min(rounds, u.parts)), table, u), "katz")
         found = part if found is None else found.unionByName(part)
         free_shuffles(spark)
     free_shuffles(spark)
@@ -331,17 +363,11 @@ def scores(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame
         kept = sum(r[f"s{k}"] * (k + 1) * d[k + 1] for k in range(K)) + LARGE * r[f"s{K}"]
         hot[r["a"]] = (r[f"s{K + 2}"], float(weight(np.array([kept / r[f"s{K + 2}"]]), np.array([r[f"s{K + 1}"]]))[0]))
     extra = _backed_off(found, u, d, hot)
-    low = sum((F.col(f"s{k + 3}") * float(np.log10(d[k + 1] * (k + 1))) for k in range(K)), F.col("s2"))
-    own = _document_sums(found).select("a", "s0", "s1", low.alias("seen"))
-    late = extra.groupBy("a").agg(F.sum("score").alias("late"))
-    many = keyed.groupBy("a").agg(F.count("*").alias("rows"))
-    of_doc = own.join(many, "a").join(late, "a", "left").select("a", *(F.expr(f"{c} / rows").alias(c) for c in ("s0", "s1", "seen", "late")))
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")) + 1
-    rows = docs.select("doc_id", "held_out", F.xxhash64("doc_id", "text").alias("a"), n.cast("long").alias("n_tokens")).join(of_doc, "a")
+    rows = _documents(found, extra, d)
     smooth = float(np.log10(u.total + 0.1 * (u.distinct + 1)))
     starts = hot.get(START, (1.0, 1.0))[0]
-    score = F.when(F.coalesce("held_out", F.lit(False)), F.col("late")).otherwise(F.col("seen") - float(np.log10(max(starts, 1.0))))
+    score = F.when(F.col("held_out"), F.col("late")).otherwise(F.col("seen") - float(np.log10(max(starts, 1.0))))
     return rows.select(
-        "doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "n_tokens", F.round("s0").cast("long").alias("n_known"), F.lit(int(u.total)).cast("long").alias("train_tokens"),
-        (F.col("s1") - F.col("n_tokens") * smooth).alias("base_score"), score.alias("score"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(u.total)).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * smooth).alias("base_score"), score.alias("score"),
     )
