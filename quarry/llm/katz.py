@@ -37,10 +37,10 @@ K = 5
 #: Factor of larger counts, so that a context of frequent words alone leaves something for others.
 LARGE = 0.999
 #: Tokens that a task holds, and a word's or context's from which it is dealt by both.
-TASK_TOKENS, HOT_TOKENS, BUFFER_TOKENS = 2_000_000, 500_000, 500_000
+TASK_TOKENS, HOT_TOKENS, BUFFER_TOKENS = 1_500_000, 500_000, 500_000
 #: Times the documents are read; each deals its share of the parts, so that shuffle
 #: files of only one share exist at a time.
-ROUNDS = 1
+ROUNDS = 2
 REMEMBERED_WORDS = 150_000
 _FACTOR = np.int64(-7046029254386353131)
 
@@ -234,10 +234,10 @@ def _weighed(dealt: DataFrame, table: DataFrame, u: Unigrams) -> DataFrame:
             rows.append((4, 0, None, 0, [float((c == k).sum()) for k in range(1, K + 2)], None))
             # documents: known words, base sum, tokens in bigrams of each low count, log10 of larger counts less contexts'
             mine, cw = c[gram], gcw[gram]
-            logs = np.where(mine > K, np.log10(LARGE * np.maximum(mine, 1)), 0.0) - np.where((w != END) & (cw > 0), np.log10(np.maximum(cw, 1)), 0.0)
+            logs = np.where(c > K, np.log10(LARGE * np.maximum(c, 1)), 0.0) - np.where((gw != END) & (gcw > 0), np.log10(np.maximum(gcw, 1)), 0.0)
             n_docs = len(place)
             sums = [place, *(np.bincount(doc[x], minlength=n_docs).astype(np.uint32) for x in (cw > 0, *(mine == k for k in range(1, K + 1))))]
-            sums += [np.bincount(doc, weights=x, minlength=n_docs) for x in (np.log10(cw + 0.1), logs)]
+            sums += [np.bincount(doc, weights=x[gram], minlength=n_docs) for x in (np.log10(gcw + 0.1), logs)]
             rows += [(0, 0, _packed(*(x[a:b] for x in sums)), int(buffer[a]), None, None) for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
             del sums, logs
             # the model, by context
