@@ -1,10 +1,11 @@
-"""Removal of repeated passages by content-defined line chunks (operator 4).
-
-A rolling hash over line hashes closes a chunk wherever its value falls in one of
-``DIVISOR`` classes, so chunks depend on the lines around their ends alone and a shift
-moves no boundary. A chunk that occurs elsewhere too, has several lines or is one long
-line, and equals the first occurrence byte by byte is removed from all places but the
-first, together with the lines beside it that the first occurrence has beside it too.
+"""Removal of repeated passages of lines (operator 4).
+
+A passage is a run of two or more lines that hold words, or one line of
+``LONG_LINE_WORDS`` words. A longer run repeats an earlier one exactly where each two
+successive lines of it, blank ones between them included, repeat two there, so all runs
+of any length and place are found by hashes of such pairs and of long lines. Runs in
+one and the same earlier place are joined, compared with its lines byte by byte, grown
+over the blank lines beside both, and removed from all places but the first.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quarry.llm.common import chunks, dropped, free_shuffles, written
 
 ROLL, DIVISOR = 1, 2
-#: A chunk of one line counts as a passage from so many words on.
+#: One line counts as a passage from so many words on.
 LONG_LINE_WORDS = 50
-#: Lines that a removed chunk may grow by on either side.
-REACH = 5
 
 _MASK = (1 << 64) - 1
-CHUNKS = "doc_id long, whole long, first int, n_lines int, n_words int, chunk binary, before array<binary>, after array<binary>, body string"
+SEEDS = "doc_id long, whole long, first int, n int, seed binary"
+RUNS = "doc_id long, whole long, first int, n int, doc_0 long, whole_0 long, first_0 int"
+FOUND = "doc_id long, whole long, first int, lead int, n int, body string"
 
 
 def boundaries(hashes: list[int], roll: int = ROLL, divisor: int = DIVISOR) -> list[int]:
@@ -45,18 +47,19 @@ def boundaries(hashes: list[int], roll: int = ROLL, divisor: int = DIVISOR) -> l
     return ends
 
 
-def split_chunks(text: str) -> list[tuple[int, int, int, bytes, list[bytes], list[bytes], str]]:
-    """first line, lines, words, hash, line hashes before and after, text of each chunk."""
-    lines = text.split("\n")
-    raw = [line.encode("utf-8", "surrogatepass") for line in lines]
-    small = [xxhash.xxh3_64_digest(r) for r in raw]
-    out, a = [], 0
-    for b in boundaries([int.from_bytes(h, "little") for h in small]):
-        body = b"\n".join(raw[a:b])
-        n_words = len(body.split())
-        if b - a > 1 or n_words >= LONG_LINE_WORDS:
-            out.append((a, b - a, n_words, xxhash.xxh3_128_digest(body), small[max(0, a - REACH) : a][::-1], small[b : b + REACH], "\n".join(lines[a:b])))
-        a = b
+def seeds(text: str) -> list[tuple[int, int, bytes]]:
+    """first line, lines, hash of each long line and each two successive lines with words."""
+    raw = [line.encode("utf-8", "surrogatepass") for line in text.split("\n")]
+    out, last = [], None
+    for k, line in enumerate(raw):
+        n_words = len(line.split())
+        if not n_words:
+            continue
+        if n_words >= LONG_LINE_WORDS:
+            out.append((k, 1, xxhash.xxh3_128_digest(line)))
+        if last is not None:
+            out.append((last, k + 1 - last, xxhash.xxh3_128_digest(b"\n".join(raw[last : k + 1]))))
+        last = k
     return out
 
 
@@ -64,45 +67,102 @@ def _whole(column: str):
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], list(names))
+
+
+def _seeded(docs: DataFrame) -> DataFrame:
     def each(batches):
         for batch in chunks(batches, 500):
-            rows = [(doc, whole, *c) for doc, whole, text in zip(*(x.to_pylist() for x in batch.columns), strict=True) for c in split_chunks(text)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.string()]
-            names = [x.split()[0] for x in CHUNKS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 9, kinds, strict=True)], names)
+            yield _batch([(doc, whole, *c) for doc, whole, text in zip(*(x.to_pylist() for x in batch.columns), strict=True) for c in seeds(text)], SEEDS)
+
+    return docs.mapInArrow(each, SEEDS)
+
+
+def _joined(parts: DataFrame) -> DataFrame:
+    """Runs out of the seeds of a document that stand in one place of another."""
+
+    def each(batches):
+        for batch in chunks(batches, 2000):
+            rows = []
+            for doc, whole, doc_0, whole_0, shift, spans in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                runs: list[list[int]] = []
+                for a, n in sorted((x["first"], x["n"]) for x in spans):
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], a + n)
+                    else:
+                        runs.append([a, a + n])
+                rows += [(doc, whole, a, b - a, doc_0, whole_0, a + shift) for a, b in runs]
+            yield _batch(rows, RUNS)
 
-    return docs.select("doc_id", _whole("text").alias("whole"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, CHUNKS)
+    return parts.mapInArrow(each, RUNS)
+
+
+def _with_bodies(rows: DataFrame) -> DataFrame:
+    """Runs with the lines of the first place and the blank ones beside them."""
+
+    def each(batches):
+        seen, text, lines = None, None, []
+        for batch in chunks(batches, 500):
+            out = []
+            for doc, whole, first, n, first_0, other in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if seen == (doc, whole, first, n, first_0):
+                    continue  # a repeated row of the first place
+                seen = (doc, whole, first, n, first_0)
+                if other != text:
+                    text, lines = other, other.split("\n")
+                a, b = first_0, first_0 + n
+                while a and not lines[a - 1].split():
+                    a -= 1
+                while b < len(lines) and not lines[b].split():
+                    b += 1
+                out.append((doc, whole, first, first_0 - a, n, "\n".join(lines[a:b])))
+            yield _batch(out, FOUND)
+
+    return rows.mapInArrow(each, FOUND)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, whole, first, n: runs of lines of a document to be removed.
-
-    The first occurrence, by doc_id (null last) and place, stays. Rows equal in doc_id
-    and text are one document and lose the same lines."""
-    spread, spread_at = written(_chunked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "chunks")
-    at = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "whole", "first")
-    firsts = spread.groupBy("chunk").agg(F.count("*").alias("n"), F.min(at).alias("at")).filter("n > 1").select("chunk", "at")
-    both, both_at = written(spread.join(firsts.hint("merge"), "chunk").withColumn("is_first", at.eqNullSafe(F.col("at"))).drop("at"), "repeats")
-    dropped(docs.sparkSession, spread_at)
-    free_shuffles(docs.sparkSession)
-    kept = both.filter("is_first").select("chunk", F.col("body").alias("body_0"), F.col("before").alias("before_0"), F.col("after").alias("after_0"))
-    kept = kept.dropDuplicates(["chunk"])
-    same = both.filter("not is_first").join(kept.hint("merge"), "chunk").filter(F.col("body") == F.col("body_0"))
-
-    def alike(mine: str, other: str):
-        """How many lines on this side follow as they do in the first occurrence."""
-        pairs = F.arrays_zip(F.col(mine).alias("a"), F.col(other).alias("b"))
-        off = F.filter(F.transform(pairs, lambda p, i: F.struct(F.coalesce(p["a"] == p["b"], F.lit(False)).alias("same"), i.alias("i"))), lambda p: ~p["same"])
-        return F.coalesce(F.get(off, 0)["i"], F.least(F.size(mine), F.size(other)))
-
-    back, on = alike("before", "before_0"), alike("after", "after_0")
-    out, _ = written(same.select("doc_id", "whole", (F.col("first") - back).alias("first"), (F.col("n_lines") + back + on).alias("n")), "runs")
-    dropped(docs.sparkSession, both_at)
-    free_shuffles(docs.sparkSession)
+    """doc_id, whole, first, lead, n, body: runs of n lines of a document that stand
+    earlier too, and what stands there, with lead and further blank lines around it.
+
+    The first occurrence, by doc_id (null last) and place, stays; one that overlaps it
+    isn't another. Rows equal in doc_id and text are one document and lose the same lines."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select("doc_id", _whole("text").alias("whole"), "text")
+    order = W.partitionBy("seed").orderBy(F.col("doc_id").isNull(), "doc_id", "whole", "first")
+    spread = _seeded(docs).select("*", *(F.first(c).over(order).alias(f"{c}_0") for c in ("doc_id", "whole", "first")))
+    here = F.col("doc_id").eqNullSafe(F.col("doc_id_0")) & (F.col("whole") == F.col("whole_0"))
+    later = spread.filter(~here | (F.col("first") >= F.col("first_0") + F.col("n")))
+    parts = later.groupBy("doc_id", "whole", F.col("doc_id_0").alias("doc_0"), "whole_0", (F.col("first_0") - F.col("first")).alias("shift")).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    runs, runs_at = written(_joined(parts), "runs")
+    free_shuffles(spark)
+    first = docs.select(F.col("doc_id").alias("_d"), F.col("whole").alias("_w"), "text")
+    # the same join at every size: what repeats has no bound
+    placed = runs.hint("merge").join(first, F.col("doc_0").eqNullSafe(F.col("_d")) & (F.col("whole_0") == F.col("_w")))
+    out, _ = written(_with_bodies(placed.select("doc_id", "whole", "first", "n", "first_0", "text")), "repeats")
+    dropped(spark, runs_at)
+    free_shuffles(spark)
     return out
 
 
+def repeated(lines: list[str], first: int, lead: int, n: int, body: str) -> range:
+    """Lines that a run takes away: none unless its bytes are those of the first place."""
+    other = body.split("\n")
+    if lines[first : first + n] != other[lead : lead + n]:
+        return range(0)
+    a, b = first, first + n
+    while lead and a and lines[a - 1] == other[lead - 1]:
+        a, lead = a - 1, lead - 1
+    at = len(other) - (b - a) - lead
+    while at > 0 and b < len(lines) and lines[b] == other[len(other) - at]:
+        b, at = b + 1, at - 1
+    return range(a, b)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of text, and lines_removed.
 
@@ -110,7 +170,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     whose lines repeat earlier ones becomes empty. n_chars, where given, is counted
     anew. A given column lines_removed is replaced; an empty table gives an empty one."""
     docs = docs.drop("lines_removed")
-    gone = repeated_lines(docs).groupBy("doc_id", "whole").agg(F.collect_list(F.struct("first", "n")).alias("_runs"))
+    gone = repeated_lines(docs).groupBy("doc_id", "whole").agg(F.collect_list(F.struct("first", "lead", "n", "body")).alias("_runs"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("whole").alias("_whole"), "_runs")
     # the same join at every size: what is to be cut has no bound
     keyed = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_whole("text") == F.col("_whole")), "left").drop("_doc", "_whole")
@@ -124,7 +184,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 continue
             lines, drop = t.split("\n"), set()
             for x in r:
-                drop.update(range(x["first"], x["first"] + x["n"]))
+                drop.update(repeated(lines, x["first"], x["lead"], x["n"], x["body"]))
             out.append(("\n".join([s for k, s in enumerate(lines) if k not in drop]), len(drop)))
         return pd.DataFrame(out, columns=["text", "n"])
 

@@ -190,6 +190,55 @@ def test_lines(spark):
     assert counted.count() == len(rows) and counted.filter("text is not null and n_chars <> length(text)").count() == 0
 
 
+def brute_repeats(rows):
+    """Text of each row without the lines of runs of two lines, or one of 50 words, that
+    stand earlier and don't overlap the first place."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        held, drop = t.split("\n"), set()
+        for k in range(len(held)):
+            for n in (1, 2):
+                part = tuple(held[k : k + n])
+                if len(part) == n and (n == 2 or len(part[0].split()) >= 50):
+                    d, at = seen.setdefault(part, (i, k))
+                    if d != i or k >= at + n:
+                        drop |= set(range(k, k + n))
+        out[i] = "\n".join(x for k, x in enumerate(held) if k not in drop)
+    return out
+
+
+def test_lines_planted_passages(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join("w%d" % rng.randrange(5000) for _ in range(n))
+    passages = [[line(-(-60 // n)) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6) for _ in range(8)]
+    rows = []
+    for i in range(240):
+        own = [line(rng.randint(1, 70)) for _ in range(rng.randint(1, 8))]
+        at = rng.randint(0, len(own))
+        rows.append((i, "\n".join(own[:at] + passages[i % len(passages)] + own[at:])))
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(docs_of(spark, rows)).collect()}
+    for i, t in rows:
+        p = passages[i % len(passages)]
+        own = [x for x in t.split("\n") if x not in p]
+        assert got[i] == (t if i < len(passages) else "\n".join(own))
+
+
+def test_lines_equal_brute_force(spark):
+    rng = random.Random(13)
+    some = ["a", "b c", "d", "long " * 50, "other " * 60, "x y z"]
+    rows = [(i, "\n".join(rng.choice(some) if rng.random() < 0.6 else "own %d" % rng.randrange(10**9) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(docs_of(spark, rows)).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_lines_blank_and_overlapping(spark):
+    big = "w " * 60
+    rows = [(1, "same\nsame\nsame"), (2, "start 2\n\n" + big + "\n\nend 2"), (3, "start 3\n\n" + big + "\n\nend 3"), (4, "short\n\nown 4"), (5, "short\n\nown 5"), (6, "p q\n\nr s\n"), (7, "p q\n\nr s\n")]
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeats(docs_of(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "start 3\nend 3", 4: rows[3][1], 5: rows[4][1], 6: rows[5][1], 7: ""}
+    assert lines.repeated(["a", "b"], 0, 0, 2, "a\nc") == range(0)
+
+
 def test_line_boundaries_resist_shifts():
     rng = random.Random(2)
     h = [rng.getrandbits(64) for _ in range(200)]
