@@ -1,13 +1,10 @@
 """Benchmark passages in documents (operator 6).
 
-Words are symbols. Every window of a document that has an item's length is embedded by
-the CGK random walk, which maps edit distance to Hamming distance: a pointer starts at
-the window's first word, each step writes the word under it, and a random bit of step
-and word says whether it moves on. Each of ``REPEATS`` walks samples a few written
-words; windows and items that agree in all of a walk's samples are candidates, and
-those within the edit distance, by an exact computation, are matches. Windows that can't be
-within the distance, as too few of their words stand in any item or no run of words of
-an item stands in them whole, aren't embedded.
+Words are symbols. An item of n words is cut into one part more than the edits that are
+allowed, so that a stretch within the edit distance holds one part whole: every place
+of such a part in a document is a candidate, at the item's length and with the allowed
+edits on either side. Those with too few words of the item go, and an exact computation
+decides on the rest, so that no match is missed whatever the item's length.
 """
 
 from __future__ import annotations
@@ -24,9 +21,6 @@ from quarry.llm.common import chunks
 
 #: Edits allowed for each word of an item: similarity 0.8 or more.
 EDITS = 0.2
-#: A pair at the allowed distance agrees in a walk's samples often enough for a recall over 0.99.
-REPEATS, SAMPLES = 24, 3
-SEED = 11
 GRAM_BITS = 22
 REMEMBERED_WORDS = 300_000
 #: Characters of items that one pass over the documents holds.
@@ -88,68 +82,48 @@ def least_distance(item: list, text: list) -> int:
 
 def _gram_buckets(ids: np.ndarray, g: int) -> np.ndarray:
     """Buckets of all runs of g words."""
-    h, n = np.zeros(len(ids) - g + 1, np.uint32), len(ids) - g + 1
+    h, n = np.zeros(max(0, len(ids) - g + 1), np.uint32), len(ids) - g + 1
     for k in range(g):
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + ids[k : k + n].astype(np.uint32)
     return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - GRAM_BITS)
 
 
+def _gram_keys(ids: np.ndarray, at: np.ndarray, g: int) -> np.ndarray:
+    """One number for each of the runs of g words at some places."""
+    key = np.zeros(len(at), np.uint64)
+    for k in range(g):
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ids[at + k].astype(np.uint64)
+    return key
+
+
 @dataclass
 class Items:
-    """Benchmark items by length, with the walks and the keys of each."""
+    """Benchmark items, with the places of their parts by words."""
 
     ids: list[int]
     words: list[list[int]]
     vocabulary: dict[bytes, int]
-    by_length: dict[int, list[dict[int, list[int]]]]
-    repeats: int
     grams: dict[int, np.ndarray] = field(default_factory=dict)
-    drawn: dict[int, list] = field(default_factory=dict)
+    #: by words of a part: sorted keys, and the item and place of each
+    parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
-    def of(rows: list[tuple[int, str | None]], repeats: int = REPEATS) -> Items:
+    def of(rows: list[tuple[int, str | None]]) -> Items:
         vocabulary: dict[bytes, int] = {}
         kept = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in found]) for i, t in rows if i is not None and (found := symbols(t))]
-        out = Items([i for i, _ in kept], [w for _, w in kept], vocabulary, {}, repeats)
-        for w in out.words:
-            g = out.part(len(w))
-            out.grams.setdefault(g, np.zeros(1 << GRAM_BITS, bool))[_gram_buckets(np.array(w, np.int32), g)] = True
-        for n in sorted({len(w) for w in out.words}):
-            members = [k for k, w in enumerate(out.words) if len(w) == n]
-            tables = []
-            for keys in out.keys(np.array([out.words[k] for k in members], np.int32)):
-                table = defaultdict(list)
-                for k, key in zip(members, keys.tolist(), strict=True):
-                    table[key].append(k)
-                tables.append(dict(table))
-            out.by_length[n] = tables
+        out = Items([i for i, _ in kept], [w for _, w in kept], vocabulary)
+        held: dict[int, list] = defaultdict(list)
+        for k, w in enumerate(out.words):
+            g, n_parts, ids = out.part(len(w)), out.allowed(len(w)) + 1, np.array(w, np.int32)
+            at = np.arange(n_parts) * (len(w) // n_parts)
+            out.grams.setdefault(g, np.zeros(1 << GRAM_BITS, bool))[_gram_buckets(ids, g)[at]] = True
+            held[g].append((_gram_keys(ids, at, g), np.full(n_parts, k), at))
+        for g, some in held.items():
+            keys, items, at = (np.concatenate(x) for x in zip(*some, strict=True))
+            order = np.argsort(keys, kind="stable")
+            out.parts[g] = keys[order], items[order], at[order]
         return out
 
-    def walks(self, n: int) -> list[tuple[list[bool], list[np.uint32], int]]:
-        """Of each walk over n words: which steps are sampled, their factors, the last."""
-        if n not in self.drawn:
-            steps = max(1, 2 * n - n // 2)
-            self.drawn[n] = []
-            for r in range(self.repeats):
-                rng = np.random.default_rng((SEED, n, r))
-                at = np.isin(np.arange(steps), rng.choice(steps, size=min(SAMPLES, steps), replace=False))
-                self.drawn[n].append((at.tolist(), list(rng.integers(0, 1 << 32, steps, np.uint32) | np.uint32(1)), int(np.flatnonzero(at)[-1])))
-        return self.drawn[n]
-
-    def keys(self, windows: np.ndarray):
-        """For each walk, the sampled words of all windows (rows, n) as one number each."""
-        rows, n = windows.shape
-        padded = np.concatenate([windows.astype(np.uint32), np.zeros((rows, n + 1), np.uint32)], axis=1).ravel()
-        start = np.arange(rows) * (2 * n + 1)
-        for sampled, factors, last in self.walks(n):
-            at, key = start.copy(), np.zeros(rows, np.uint64)
-            for s in range(last + 1):
-                now = padded[at]
-                if sampled[s]:
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + now
-                at += ((now + np.uint32(1)) * factors[s]) >> np.uint32(31)  # a bit of step and word
-            yield key
-
     def part(self, n: int) -> int:
         """Words, four at most, of the shorter of allowed + 1 equal parts of an item."""
         return min(4, n // (self.allowed(n) + 1))
@@ -157,12 +131,48 @@ class Items:
     def allowed(self, n: int) -> int:
         return int(n * EDITS + 1e-9)
 
+    def candidates(self, flat: np.ndarray, known: np.ndarray, edges: np.ndarray):
+        """item, places where it may begin in order, and the document of each. A stretch
+        within the distance ends at most the allowed edits away from such a place on
+        either side, and the words of the item that it lacks are edits."""
+        hits = []
+        for g, (keys, items, offsets) in self.parts.items():
+            at = np.flatnonzero(self.grams[g][_gram_buckets(flat, g)])
+            found = _gram_keys(flat, at, g)
+            low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+            n = high - low
+            one = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            at = np.repeat(at, n)
+            hits.append((items[one], at - offsets[one], np.searchsorted(edges, at, "right") - 1))
+        item, place, doc = (np.concatenate(x) for x in zip(*hits, strict=True))
+        if not len(item):
+            return
+        order = np.lexsort((place, item))
+        item, place, doc = item[order], place[order], doc[order]
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (place[1:] != place[:-1])
+        item, place, doc = item[new], place[new], doc[new]
+        cuts = np.flatnonzero(np.diff(item, prepend=-1))
+        member = np.zeros(len(self.vocabulary) + 1, bool)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)], strict=True):
+            k = int(item[a])
+            n, most = len(self.words[k]), self.allowed(len(self.words[k]))
+            p, d = place[a:b], doc[a:b]
+            some = known[np.minimum(p + n + most, len(flat))] - known[np.maximum(p - most, 0)] >= n - most
+            p, d = p[some], d[some]
+            member[self.words[k]] = True
+            step = max(1, 2_000_000 // (n + 2 * most))
+            dense = [member[flat[np.clip(p[x : x + step, None] + np.arange(-most, n + most), 0, len(flat) - 1)]].sum(1) >= n - most for x in range(0, len(p), step)]
+            member[self.words[k]] = False
+            if dense and (good := np.concatenate(dense)).any():
+                yield k, p[good], d[good]
+
     def matches(self, docs: list[list[int]]) -> list[tuple[int, int, int, int, int]]:
         """(place of the document, item, start, stop, edits) of all matches; of matches
         of an item that overlap, the nearest."""
         if not self.ids or not docs:
             return []
-        gap = 2 * max(self.by_length) + 8
+        gap = 2 * max(map(len, self.words)) + 8
         starts, at = [], gap
         for d in docs:
             starts.append(at)
@@ -171,38 +181,17 @@ class Items:
         for s, d in zip(starts, docs, strict=True):
             flat[s : s + len(d)] = d
         known = np.concatenate([[0], np.cumsum(flat > 0)])
-        whole = {g: np.concatenate([[0], np.cumsum(table[_gram_buckets(flat, g)])]) for g, table in self.grams.items()}
-        found: dict[tuple[int, int], list] = defaultdict(list)
-        for n, tables in self.by_length.items():
-            least = n - self.allowed(n)
-            # both hold wherever the item is within the distance: so many of its words stand
-            # there, and one of the parts that so few edits can't all touch stands whole
-            g, w = self.part(n), n + self.allowed(n)
-            part, end = whole[g], len(whole[g]) - w
-            dense = np.flatnonzero((known[n : end + n] - known[:end] >= least) & (part[w - g + 1 : end + w - g + 1] > part[:end]))
-            for a in range(0, len(dense), 20_000):
-                part = dense[a : a + 20_000]
-                windows = flat[part[:, None] + np.arange(n)]
-                hits = set()
-                for keys, table in zip(self.keys(windows), tables, strict=True):
-                    wanted = np.fromiter(table, np.uint64, len(table))
-                    for row in np.flatnonzero(np.isin(keys, wanted)).tolist():
-                        hits.update((row, k) for k in table[int(keys[row])])
-                for row, k in hits:
-                    found[k, n].append(int(part[row]))
         out, edges = [], np.array(starts)
-        for (k, n), places in found.items():
-            most, item, until = self.allowed(n), self.words[k], -1
+        for k, places, at_doc in self.candidates(flat, known, edges):
+            item = self.words[k]
+            n, most, until = len(item), self.allowed(len(item)), -1
             best: list[tuple[int, int, int, int, int]] = []
-            for p in sorted(set(places)):
+            for p, d in zip(places.tolist(), at_doc.tolist(), strict=True):
                 if p + n // 2 < until and best and best[-1][4] == 0:
                     continue  # within an exact match already found
-                d = int(np.searchsorted(edges, p + n // 2, "right")) - 1
                 a, b = max(starts[d], p - most), min(starts[d] + len(docs[d]), p + n + most)
                 if b <= a:
                     continue
-                if np.isin(flat[a:b], item).sum() < n - most:
-                    continue
                 text = flat[a:b].tolist()
                 if least_distance(item, text) > most:
                     continue

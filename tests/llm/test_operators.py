@@ -278,6 +278,24 @@ def test_passage_recall():
     assert found >= 57
 
 
+@pytest.mark.parametrize("kind", ["deletion", "substitution", "insertion", "mixed"])
+@pytest.mark.parametrize("n", [5, 9, 15, 40, 55, 100, 200])
+def test_passages_at_allowed_distance(n, kind):
+    rng = random.Random(f"{n} {kind}")
+    rows = [(k, " ".join("v%d" % rng.randrange(300) for _ in range(n))) for k in range(25)]
+    items, docs = decontaminate.Items.of(rows), []
+    for w in items.words:
+        x, places = list(w), rng.sample(range(n), items.allowed(n))
+        for at in sorted(places, reverse=True):
+            how = rng.choice(["deletion", "substitution", "insertion"]) if kind == "mixed" else kind
+            x[at : at + 1] = [] if how == "deletion" else [0] if how == "substitution" else [0, x[at]]
+        noise = lambda: [rng.randrange(len(items.vocabulary) + 1) for _ in range(50)]
+        docs += [x, noise() + x + noise()]
+    got = {(m[0], m[1]) for m in items.matches(docs)}
+    want = {(d, k) for d, x in enumerate(docs) for k, w in enumerate(items.words) if decontaminate.least_distance(w, x) <= items.allowed(n)}
+    assert got == want and want >= {(d, d // 2) for d in range(len(docs))}
+
+
 def test_language(spark):
     rng = random.Random(7)
     sounds = {"aa": ["lar", "min", "tok", "ves"], "bb": ["schu", "rütz", "kopf", "gen"]}
