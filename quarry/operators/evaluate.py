@@ -54,6 +54,26 @@ def lexical_coverage(answer: Column, points: Column) -> Column:
     return F.when(F.size(points) > 0, F.size(F.filter(points, lambda p: F.contains(text, T.fold(p)))) / F.size(points)).otherwise(0.0)
 
 
+def covering(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, coverage 1.0) of all pairs in which the folded text of an item
+    (item_id, text) stands in that of a document (doc_id, text).
+
+    The words between an item's first and last stand whole in such a document, so it is
+    looked up by the one of them that the fewest documents hold; items of two words at
+    most, a few, meet every document."""
+    docs = docs.select("doc_id", F.col("text").alias("_text"), T.fold(F.col("text")).alias("_folded"), F.coalesce("doc_id", F.lit(-1)).alias("_d")).filter("_folded is not null")
+    items = items.select("item_id", F.col("text").alias("_item"), F.split(T.fold(F.col("text")), " ").alias("_ws")).filter("_ws is not null")
+    long = F.size("_ws") > 2
+    held = docs.select("_d", F.explode(F.array_distinct(F.split("_folded", " "))).alias("_w"))
+    asked = items.filter(long).select("item_id", "_item", F.explode(F.array_distinct(F.slice("_ws", F.lit(2), F.size("_ws") - 2))).alias("_w"))
+    n_docs = held.groupBy("_w").agg(F.count("*").alias("_n"))
+    rarest = asked.join(n_docs, "_w", "left").groupBy("item_id", "_item").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "_w"))["_w"].alias("_w"))
+    likely = held.join(rarest, "_w").select("item_id", "_d", "_item").distinct()
+    few = docs.crossJoin(items.filter(~long).select("item_id", "_item"))
+    own = lambda pairs: pairs.select("item_id", "doc_id", lexical_coverage(F.col("_text"), F.array("_item")).alias("coverage")).filter("coverage > 0")
+    return own(docs.join(likely, "_d")).unionByName(own(few))
+
+
 def claim_metrics(claims: DataFrame, by: list[str]) -> DataFrame:
     """Supported share of claims (supported, cited, supporting), and among those that
     cite, the share that cites something that supports them. Empty means are 0."""

@@ -94,12 +94,12 @@ def mentions(entities: DataFrame, queries: DataFrame, limit: int = 4) -> DataFra
     return chosen.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("start", "key"))).filter(F.col("place") <= limit)
 
 
-def graph_topk(ranked_docs: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, per_doc: int = 2) -> DataFrame:
+def graph_topk(ranked_docs: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, per_doc: int = 2, bounded: bool = True) -> DataFrame:
     """Chunks (id, doc_id, title, text, ordinal) of neighbour documents (query_id, doc_id,
     rank): by document, word overlap with the question, ordinal; two of a document at
-    most; score 1 / rank + 0.01 * overlap."""
+    most; score 1 / rank + 0.01 * overlap. queries go to every task if ``bounded``."""
     q = queries.select("query_id", T.words(T.fold(F.col("text"))).alias("q"))
-    rows = chunks.join(ranked_docs.select("query_id", "doc_id", F.col("rank").alias("doc_rank")), "doc_id").join(F.broadcast(q), "query_id")
+    rows = chunks.join(ranked_docs.select("query_id", "doc_id", F.col("rank").alias("doc_rank")), "doc_id").join(F.broadcast(q) if bounded else q, "query_id")
     rows = rows.withColumn("overlap", F.size(F.array_intersect("q", T.words(T.fold(F.concat_ws(" ", "title", "text"))))))
     in_doc = F.row_number().over(W.partitionBy("query_id", "doc_id").orderBy(F.desc("overlap"), "ordinal", "id"))
     rows = rows.withColumn("n", in_doc).filter(F.col("n") <= per_doc)

@@ -51,10 +51,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, bounded: bool = True) -> DataFrame:
     """Exact top k by inner product; filter ``vectors`` before, so none is missing.
-    queries (query_id, v) are a batch of bounded size and go to every task."""
-    pairs = vectors.select("id", "v").crossJoin(F.broadcast(queries.select("query_id", F.col("v").alias("_q"))))
+    queries (query_id, v) are a batch of bounded size and go to every task, if not told
+    otherwise."""
+    asked = queries.select("query_id", F.col("v").alias("_q"))
+    pairs = vectors.select("id", "v").crossJoin(F.broadcast(asked) if bounded else asked.hint("shuffle_replicate_nl"))
     if exclude_self:
         pairs = pairs.filter("id <> query_id")
     return ranked(pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("_q")), 6).alias("score")), k).withColumn("retriever", F.lit("vector"))

@@ -124,6 +124,20 @@ def vector_topk_filtered(spark, d):
     return R.vector_topk(v.filter("label in (1, 2, 3)"), v.filter("id < 20").select(F.col("id").alias("query_id"), "v"), 8).select("query_id", "id", "score", "rank")
 
 
+@query("vector_topk_all")
+def vector_topk_all(spark, d):
+    """As vector_topk, asked by every vec_id divisible by 20."""
+    v = vectors(spark, d)
+    return R.vector_topk(v, v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "v"), 20, bounded=False).select("query_id", "id", "score", "rank")
+
+
+@query("vector_topk_filtered_all")
+def vector_topk_filtered_all(spark, d):
+    """As vector_topk_filtered, asked by every vec_id divisible by 20."""
+    v = vectors(spark, d)
+    return R.vector_topk(v.filter("label in (1, 2, 3)"), v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "v"), 8, bounded=False).select("query_id", "id", "score", "rank")
+
+
 FUSED = f"""{TERMS}, {LEX},
     u AS (SELECT query_id, id, 0 AS l, rank FROM kw WHERE rank <= 40 UNION ALL SELECT query_id, id, 1, rank FROM lexr WHERE rank <= 40),
     s AS (SELECT query_id, id, coalesce(sum(CASE WHEN l = 0 THEN 1.0::DOUBLE / (60 + rank) END), 0) + coalesce(sum(CASE WHEN l = 1 THEN 1.0::DOUBLE / (60 + rank) END), 0) AS score,
@@ -300,9 +314,9 @@ NEAR = f"""{EDGES}, {SYM},
     near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc)"""
 
 
-def _near(spark, d):
+def _near(spark, d, asking="page_id % 5 = 0"):
     ent, edges = _graph(spark, d)
-    asked = parsed_pages(spark, d).filter("page_id % 5 = 0").select(F.col("page_id").alias("query_id"), T.fold(F.col("title")).alias("key"))
+    asked = parsed_pages(spark, d).filter(asking).select(F.col("page_id").alias("query_id"), T.fold(F.col("title")).alias("key"))
     return G.neighbours(ent, edges, asked)
 
 
@@ -311,6 +325,12 @@ def graph_neighbors(spark, d):
     return _near(spark, d)
 
 
+@query("graph_neighbors_all")
+def graph_neighbors_all(spark, d):
+    """As graph_neighbors, asked by every page."""
+    return _near(spark, d, "true")
+
+
 @query("graph_related", f"""WITH {EDGES}, {SYM}
     SELECT o.doc_id, r.doc_id AS related_id, array_to_string(list_sort(list_distinct(list('links_to:' || s.dir))), ',') AS relations
     FROM owner o JOIN sym s USING (key) JOIN owner r ON r.key = s.other WHERE r.doc_id <> o.doc_id GROUP BY 1, 2""")
@@ -327,9 +347,19 @@ def graph_related(spark, d):
     z AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dr, ov DESC, ordinal, id) AS INTEGER) AS rank FROM y WHERE n <= 2)
     SELECT query_id, id, round(1.0::DOUBLE / rank + ov * 0.01, 6) AS score, rank FROM z WHERE rank <= 16""")
 def graph_retrieve_cap2(spark, d):
+    return _capped(spark, d, "page_id % 5 = 0", True)
+
+
+@query("graph_retrieve_cap2_all")
+def graph_retrieve_cap2_all(spark, d):
+    """As graph_retrieve_cap2, asked by every page."""
+    return _capped(spark, d, "true", False)
+
+
+def _capped(spark, d, asking, bounded):
     c = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("doc_id div 4").alias("doc_id"), F.col("source").alias("title"), "text", (F.col("doc_id") % 4).cast("int").alias("ordinal"))
-    q = parsed_pages(spark, d).filter("page_id % 5 = 0").select(F.col("page_id").alias("query_id"), F.col("title").alias("text"))
-    return G.graph_topk(_near(spark, d), c, q, 16).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    q = parsed_pages(spark, d).filter(asking).select(F.col("page_id").alias("query_id"), F.col("title").alias("text"))
+    return G.graph_topk(_near(spark, d, asking), c, q, 16, bounded=bounded).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("entity_overlap", f"""WITH {PAGES},
@@ -396,6 +426,13 @@ def lexical_coverage(spark, d):
     return pairs.select("item_id", "doc_id", E.lexical_coverage(F.col("text"), F.array("item", F.lit("#no such point#"))).alias("coverage"))
 
 
+@query("lexical_coverage_all")
+def lexical_coverage_all(spark, d):
+    """As lexical_coverage, of every item in every document; other pairs have 0."""
+    items = questions(spark, d).withColumnRenamed("query_id", "item_id")
+    return E.covering(items, t(spark, d, "documents")).withColumn("coverage", F.col("coverage") / 2)
+
+
 @query("claim_overlap", """WITH c AS (SELECT l_returnflag AS arm, l_linenumber % 2 = 0 AS supported, CASE WHEN l_linenumber > 2 THEN l_partkey % 3 END AS a, l_suppkey % 3 AS b FROM lineitem)
     SELECT arm, count(*) AS claims, round(avg(supported::INT), 6) AS supported_share, round(coalesce(avg(CASE WHEN a IS NOT NULL THEN (a = b)::INT END), 0), 6) AS cited_right_share FROM c GROUP BY 1""")
 def claim_overlap(spark, d):

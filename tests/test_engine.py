@@ -42,6 +42,47 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall())
 
 
+@pytest.mark.parametrize("name, k, labels", [("vector_topk_all", 20, None), ("vector_topk_filtered_all", 8, (1, 2, 3))])
+def test_all_vectors_ask(spark, name, k, labels):
+    rows = [(r["vec_id"], r["label"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    want = set()
+    for q, _, v in rows:
+        if q % 20 == 0:
+            found = sorted((-round(sum(x * y for x, y in zip(v, w, strict=True)), 6), i) for i, label, w in rows if i != q and (labels is None or label in labels))
+            want |= {(q, i, n + 1) for n, (_, i) in enumerate(found[:k])}
+    assert len({q for q, _, _ in want}) == len(rows) / 20
+    assert {(r["query_id"], r["id"], r["rank"]) for r in Q.QUERIES[name](spark, SF).collect()} == want
+
+
+def test_all_pages_ask(spark):
+    ent, edges = Q._graph(spark, SF)
+    owner = {r["key"]: r["doc_id"] for r in ent.collect()}
+    sides = [x for r in edges.collect() for x in ((r["src_key"], r["dst_key"], r["doc_id"]), (r["dst_key"], r["src_key"], r["doc_id"]))]
+    want = set()
+    for p in Q.parsed_pages(spark, SF).select("page_id", T.fold(F.col("title")).alias("key")).collect():
+        score = {}
+        for key, other, doc in sides:
+            if key == p["key"]:
+                for to, n in ((owner.get(other), 2), (doc, 1)):
+                    score.setdefault(to, []).append(n)
+        ranked = sorted(((-sum(n), to) for to, n in score.items() if to is not None))[:8]
+        want |= {(p["page_id"], to, -s, k + 1) for k, (s, to) in enumerate(ranked)}
+    got = {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in Q.QUERIES["graph_neighbors_all"](spark, SF).collect()}
+    assert got == want and any(q % 5 for q, *_ in got)
+    some, whole = ({tuple(r) for r in Q.QUERIES[n](spark, SF).collect()} for n in ("graph_retrieve_cap2", "graph_retrieve_cap2_all"))
+    assert {r for r in whole if r[0] % 5 == 0} == some and any(r[0] % 5 for r in whole)
+
+
+def test_covering_meets_all_pairs(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9001, "xone  Two threey"), (9002, None), (9003, "")], "doc_id long, text string"))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").unionByName(spark.createDataFrame([(901, "one two\nthree"), (902, "two t"), (903, None), (904, ""), (905, "no such words here")], "item_id long, text string"))
+    pairs = docs.crossJoin(items.withColumnRenamed("text", "item"))
+    want = {(r["item_id"], r["doc_id"]) for r in pairs.select("item_id", "doc_id", E.lexical_coverage(F.col("text"), F.array("item")).alias("c")).collect() if r["c"]}
+    got = [(r["item_id"], r["doc_id"]) for r in E.covering(items, docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(901, 9001), (902, 9001)} <= want and any(d % 40 != i % 40 for i, d in want)
+    assert {(r["item_id"], r["doc_id"], r["coverage"]) for r in Q.QUERIES["lexical_coverage_all"](spark, SF).collect()} == {(i, d, 0.5) for i, d in want if i < 900 and d < 9000}
+
+
 def one(spark, col):
     return spark.range(1).select(col.alias("x")).first()["x"]
 
