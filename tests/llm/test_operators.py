@@ -223,6 +223,17 @@ def test_lines_planted_passages(spark):
         assert got[i] == (t if i < len(passages) else "\n".join(own))
 
 
+def test_lines_long_run_goes_whole(spark):
+    import xxhash
+
+    ends = lambda x: lines.boundaries([int.from_bytes(xxhash.xxh3_64_digest(x), "little"), 0])[0] == 1
+    run = [x for x in ("short %d" % k for k in range(2000)) if ends(x.encode())][:400]  # each would be a chunk
+    run[200:200] = ["first two", "of more lines"]
+    rows = [(i, "\n".join(["own %d a" % i, *run, "own %d b" % i])) for i in range(3)]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.without_repeats(docs_of(spark, rows)).collect()}
+    assert got == {0: (rows[0][1], 0), 1: ("own 1 a\nown 1 b", 402), 2: ("own 2 a\nown 2 b", 402)}
+
+
 def test_lines_equal_brute_force(spark):
     rng = random.Random(13)
     some = ["a", "b c", "d", "long " * 50, "other " * 60, "x y z"]
