@@ -37,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark, whether they have a doc_id or not."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,8 +249,31 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _clean(held):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        of, found, texts = _Ids(held.value.vocabulary).of, set(), texts.tolist()
+        for a in range(0, len(texts), 4000):
+            found.update(a + m[0] for m in held.value.matches([of(t) for t in texts[a : a + 4000]]))
+        return pd.Series([k not in found for k in range(len(texts))])
+
+    return clean
+
+
+def without_passages(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``rows`` in whose own text no item is found, decided row by row, without a key."""
+    for lot in _passes(benchmark):
+        held = rows.sparkSession.sparkContext.broadcast(Items.of(lot))  # bounded by PASS_CHARS
+
+        rows = rows.filter(_clean(held)(F.col("text").cast("string")))
+    return rows
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, nameless: bool = False) -> DataFrame:
     """``docs`` without the rows in which a benchmark item is found. Rows with a null
-    doc_id stay."""
+    doc_id stay, or with ``nameless`` go by their own text."""
     found = find_passages(docs, benchmark).filter("doc_id is not null").select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    if not nameless:
+        return docs.join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    named = docs.filter("doc_id is not null").join(found.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    return named.unionByName(without_passages(docs.filter("doc_id is null"), benchmark))

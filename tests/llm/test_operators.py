@@ -274,6 +274,17 @@ def test_passages(spark):
     assert decontaminate.find_passages(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_pipeline_decontaminates_rows_without_id(spark, tmp_path):
+    import corpus_pipeline as P
+
+    item = " ".join("i%d" % k for k in range(20))
+    rows = [(1, "a " + item), (2, "clean"), (None, "b " + item), (None, "clean too"), (None, None), (None, "")]
+    spark.createDataFrame([(10, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = P.decontamination(spark, docs_of(spark, rows), str(tmp_path))
+    assert got.columns == docs_of(spark, rows).columns
+    assert sorted((repr(r["doc_id"]), repr(r["text"])) for r in got.collect()) == sorted((repr(i), repr(t)) for i, t in rows if item not in (t or ""))
+
+
 def test_passage_recall():
     rng = random.Random(6)
     rows = [(k, " ".join("v%d" % rng.randrange(300) for _ in range(rng.randint(14, 60)))) for k in range(60)]
