@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which driver and executors
-    share. Only where it is unset (local tests) a temporary one is set."""
+    share. Where it is unset, a temporary one is set in local mode, as in tests; on a
+    cluster, where executors wouldn't see it, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -59,6 +62,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more than this part of the rows is hot; there are fewer than HOT_KEYS such keys.
+HOT_KEYS = 2000
+
+
+def keyed_join(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, which has a row for each key and in n how
+    many of the ``total`` rows have it. Hot keys' sides, fewer than HOT_KEYS whatever the
+    input, go to all tasks, so that no task gets all rows of a hot key; the rest meet by
+    key. Both tables are read more than once and should be written ones."""
+    most = max(1, total // HOT_KEYS)
+    hot = F.broadcast(side.filter(F.col(n) > most))
+    cold = rows.join(F.broadcast(side.filter(F.col(n) > most).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(side.filter(F.col(n) <= most).hint("merge"), key))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text whose A-Z are lower-cased; bytes know
     no other letters and no other white space."""

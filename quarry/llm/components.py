@@ -26,10 +26,11 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): for every node of ``edges`` (u, v) the least node that can be
-    reached. Loops and repeated edges don't matter; null ends are no edges; without
-    edges the result is empty. Each round is written to the shared folder."""
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, component), written, and its path: for every node of ``edges`` (u, v) the
+    least node that can be reached. Loops and repeated edges don't matter; null ends are
+    no edges; without edges the result is empty. Each round is written to the shared
+    folder, and what it was made from is deleted."""
     spark = edges.sparkSession
     now, at = written(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     mark = None
@@ -39,5 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         now, at = after, to
         found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
         if found == mark or not found[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            stars = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out, path = written(stars, "components")
+            dropped(spark, at)
+            return out, path
         mark = found

@@ -66,6 +66,34 @@ def test_minhash_chain_and_empty(spark):
     assert minhash.deduplicated(docs_of(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")])).count() == 2
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_minhash_families_without_a_hub(spark, monkeypatch, block):
+    """Families whose members differ from each other as much as links allow, and such just
+    below it, in blocks of many or few members."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng, rows = random.Random(17), []
+    for f in range(6):
+        base = [f"f{f}w{k}" for k in range(60)]
+        for _ in range(12):
+            own = list(base)
+            for at in rng.sample(range(60), 3 if f % 2 else 5):
+                own[at] = "x%d" % rng.randrange(10**6)
+            rows.append((len(rows), " ".join(own)))
+    rows += [(500 + k, rows[0][1]) for k in range(40)]  # a hot group of exact copies
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs_of(spark, rows), 2).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
+def test_keyed_join(spark, monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([("a", k) for k in range(50)] + [("b", 1), ("c", 2), ("d", 3)], "key string, x int")
+    side = spark.createDataFrame([("a", 50, "A"), ("b", 1, "B"), ("d", 1, "D")], "key string, n int, y string")
+    got = sorted((r["key"], r["x"], r["y"]) for r in common.keyed_join(rows, side, "key", "n", 53).collect())
+    assert got == sorted([("a", k, "A") for k in range(50)] + [("b", 1, "B"), ("d", 3, "D")])
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100, k) for k in range(101, 130)] + [(k, k + 1) for k in range(200, 220)]
@@ -74,7 +102,7 @@ def test_components(spark):
     for a, b in edges:
         p, q = sorted((find(a), find(b)))
         up[q] = p
-    got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "u long, v long"))[0].collect()}
     assert got == {(x, find(x)) for e in edges for x in e if e[0] != e[1]}
 
 
