@@ -66,15 +66,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_KEYS = 2000
 
 
-def keyed_join(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``side``, which has a row for each key and in n how
+def keyed_join(rows: DataFrame, side: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of ``rows`` with ``side``, which has a row for each key and in n how
     many of the ``total`` rows have it. Hot keys' sides, fewer than HOT_KEYS whatever the
     input, go to all tasks, so that no task gets all rows of a hot key; the rest meet by
     key. Both tables are read more than once and should be written ones."""
     most = max(1, total // HOT_KEYS)
     hot = F.broadcast(side.filter(F.col(n) > most))
     cold = rows.join(F.broadcast(side.filter(F.col(n) > most).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(cold.join(side.filter(F.col(n) <= most).hint("merge"), key))
+    return rows.join(hot, key).unionByName(cold.join(side.filter(F.col(n) <= most).hint("merge"), key, how))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -88,6 +88,26 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+_forget: dict = {}
+
+
+def only_memory(owner: str, forget) -> None:
+    """Say in a Python worker that ``owner`` works now: what other operators remember in
+    this worker, which Spark uses again for later stages, is forgotten by calling their
+    ``forget``, and the freed memory goes back to the system."""
+    others = [f for name, f in _forget.items() if name != owner]
+    _forget.clear()
+    _forget[owner] = forget
+    if others:
+        import ctypes
+
+        for f in others:
+            f()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
 def chunks(batches, size: int):
     """Arrow batches in pieces of at most ``size`` rows."""
     for batch in batches:

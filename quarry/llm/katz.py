@@ -12,15 +12,20 @@ count; from there the counted bigrams, which are the model's table, and the held
 occurrences are dealt by context, where backoff weights are found and applied. Words
 and contexts that alone would fill a good part of a task are dealt by both.
 
-Documents are read in buffers of about ``BUFFER_TOKENS``. A document is known by its
-buffer and its place there, and what all parts have found goes back by buffer, in
-columns, so that no row for each document and part is ever made.
+Documents are tokenised once, into a table of buffers of about ``BUFFER_TOKENS``. A
+document is known by its buffer and its place there, and what all parts have found goes
+back by buffer, in columns, so that no row for each document and part is ever made.
+
+The model is stored: a table of words with counts, and one of contexts with their words,
+counts and backoff weights, in ``BUCKETS`` partitions. ``evaluate`` reads it and scores
+any texts, recursively: bigram, else weight times unigram, else the unknown word.
 """
 
 from __future__ import annotations
 
 import struct
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,16 +36,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, dropped, free_shuffles, words, written
+from quarry.llm.common import chunks, dropped, free_shuffles, keyed_join, new_path, only_memory, words, written
 
 K = 5
 #: Factor of larger counts, so that a context of frequent words alone leaves something for others.
 LARGE = 0.999
 #: Tokens that a task holds, and a word's or context's from which it is dealt by both.
-TASK_TOKENS, HOT_TOKENS, BUFFER_TOKENS = 1_500_000, 500_000, 500_000
-#: Times the documents are read; each deals its share of the parts, so that shuffle
+TASK_TOKENS, HOT_TOKENS, BUFFER_TOKENS = 800_000, 400_000, 500_000
+#: Times the buffers are read; each deals its share of the parts, so that shuffle
 #: files of only one share exist at a time.
-ROUNDS = 2
+ROUNDS = 8
+#: Times that shares of the contexts are weighed; what a share was made from is deleted then.
+SHARES = 3
+#: Partitions of the stored table of contexts.
+BUCKETS = 64
 REMEMBERED_WORDS = 150_000
 _FACTOR = np.int64(-7046029254386353131)
 
@@ -70,12 +79,21 @@ def _packed(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of 64-bit counts by significance: those of small numbers are nearly all 0."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
 def _unpacked(blob: bytes, kinds: str) -> list[np.ndarray]:
+    """The columns of ``_packed``; p8 is a column of ``_planes``."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     kinds = kinds.split()
     sizes, at, out = struct.unpack_from(f"<{len(kinds)}q", raw), 8 * len(kinds), []
     for kind, n in zip(kinds, sizes, strict=True):
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+        if kind == "p8":
+            out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n, at).reshape(8, -1).T).view("<i8").ravel())
+        else:
+            out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
         at += n
     return out
 
@@ -131,21 +149,46 @@ def _buffers(batches):
         yield held
 
 
-def _counted(docs: DataFrame) -> DataFrame:
+#: documents: doc_id, whether there is one, held out, tokens; tokens: their distinct words, and the place in
+#: these of each token, in a row
+BUFFER = "buffer long, documents binary, tokens binary"
+DOCUMENTS = "i8 ? ? u4"
+
+
+def _tokenised(docs: DataFrame) -> DataFrame:
+    def each(batches):
+        only_memory("katz", _known.clear)
+        of_task = TaskContext.get().partitionId() << 32
+        for buffer, held in enumerate(_buffers(batches), of_task):
+            ids = [k for k, _, _ in held]
+            distinct, at = np.unique(np.concatenate([t for _, _, t in held]), return_inverse=True)
+            documents = _packed(np.array([k or 0 for k in ids], np.int64), np.array([k is not None for k in ids]), np.array([o for _, o, _ in held], bool), np.array([len(t) for _, _, t in held], np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([buffer]), pa.array([documents], pa.binary()), pa.array([_packed(distinct, at.astype(np.uint32))], pa.binary())], ["buffer", "documents", "tokens"])
+
+    return docs.mapInArrow(each, BUFFER)
+
+
+def _read(batches):
+    """buffer, documents, their columns and the tokens of each buffer."""
+    for batch in chunks(batches, 1):
+        for buffer, documents, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            distinct, at = _unpacked(blob, "i8 u4")
+            yield buffer, documents, _unpacked(documents, DOCUMENTS), distinct[at]
+
+
+def _counted(buffers: DataFrame) -> DataFrame:
     """(w, c): tokens of the training documents."""
 
     def each(batches):
-        for held in _buffers(batches):
-            learn = [t for _, out, t in held if not out]
-            if learn:
-                w, c = np.unique(np.concatenate(learn), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64))], ["w", "c"])
+        for _, _, (_, _, out, n), w in _read(batches):
+            w, c = np.unique(w[np.repeat(~out, n)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c.astype(np.int64))], ["w", "c"])
 
-    return docs.mapInArrow(each, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return buffers.mapInArrow(each, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def unigrams(docs: DataFrame) -> tuple[DataFrame, Unigrams]:
-    table, _ = written(_counted(docs), "unigrams")
+def unigrams(buffers: DataFrame) -> tuple[DataFrame, Unigrams]:
+    table, _ = written(_counted(buffers), "unigrams")
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     of = {r["c"]: r["n"] for r in table.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
     d, parts = discounts(of), max(1, -(-total // TASK_TOKENS))
@@ -159,25 +202,21 @@ def unigrams(docs: DataFrame) -> tuple[DataFrame, Unigrams]:
 
 #: documents: of the whole buffer, in one of its rows alone
 DEALT = "part int, buffer long, blob binary, documents binary"
-DOCUMENTS = "i8 ? ? u4"  # doc_id, whether there is one, held out, tokens
-#: place, known words, tokens in bigrams of each low count, base sum, sum of logs
-SUMS = "u2 u4 " + "u4 " * K + "f8 f8"
-#: kind 0: SUMS of the documents of buffer a; 1: the model, contexts with counts and unigram counts of their
-#: words, whose names (32 bits of their hashes) stand in words; 2: held-out occurrences; 3: sums of a hot
+#: of each token of a buffer's documents: place of the document, counts of the bigram and of the word
+SEEN = "u2 p8 p8"
+#: kind 0: SEEN of buffer a; 1: the model, contexts with counts and unigram counts of their
+#: words, which stand in words; 2: held-out occurrences; 3: sums of a hot
 #: context; 4: counts of counts; 5: DOCUMENTS of buffer a
 FOUND = "kind int, part int, blob binary, a long, sums array<double>, words binary"
 
 
-def _dealt(docs: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
+def _dealt(buffers: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
     """Occurrences by word, in columns."""
 
     def each(batches):
-        of_task = TaskContext.get().partitionId() << 32
-        for buffer, held in enumerate(_buffers(batches), of_task):
-            out = np.array([o for _, o, _ in held], bool)
-            w = np.concatenate([t for _, _, t in held])
-            n = np.array([len(t) for _, _, t in held])
-            doc = np.repeat(np.arange(len(held), dtype=np.uint16), n)
+        for buffer, documents, (_, _, out, n), w in _read(batches):
+            n = n.astype(np.int64)
+            doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
             h = np.empty_like(w)
             h[1:] = w[:-1]
             h[np.cumsum(n) - n] = START
@@ -185,8 +224,6 @@ def _dealt(docs: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
             mine = np.flatnonzero(part % rounds == turn)
             mine = mine[np.lexsort((w[mine], part[mine]))]
             ends = np.flatnonzero(np.append(part[mine][1:] != part[mine][:-1], len(mine) > 0)) + 1
-            ids = [k for k, _, _ in held]
-            documents = _packed(np.array([k or 0 for k in ids], np.int64), np.array([k is not None for k in ids]), out, n.astype(np.uint32))
             least, names, blobs = int(part.min()), [], []
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 at = mine[a:b]
@@ -197,7 +234,7 @@ def _dealt(docs: DataFrame, u: Unigrams, turn: int, rounds: int) -> DataFrame:
             columns = [pa.array(names, pa.int32()), pa.array([buffer] * len(names), pa.int64()), pa.array(blobs, pa.binary()), pa.array([documents if k == least else None for k in names], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "buffer", "blob", "documents"])
 
-    return docs.mapInArrow(each, DEALT)
+    return buffers.mapInArrow(each, DEALT)
 
 
 def _weighed(dealt: DataFrame, table: DataFrame, u: Unigrams) -> DataFrame:
@@ -232,93 +269,117 @@ def _weighed(dealt: DataFrame, table: DataFrame, u: Unigrams) -> DataFrame:
             c = np.bincount(gram[learn], minlength=len(gw))
             seen = np.flatnonzero(c)
             rows.append((4, 0, None, 0, [float((c == k).sum()) for k in range(1, K + 2)], None))
-            # documents: known words, base sum, tokens in bigrams of each low count, log10 of larger counts less contexts'
+            # what documents add up: each token's counts, as the discounts of bigrams aren't known yet
             mine, cw = c[gram], gcw[gram]
-            logs = np.where(c > K, np.log10(LARGE * np.maximum(c, 1)), 0.0) - np.where((gw != END) & (gcw > 0), np.log10(np.maximum(gcw, 1)), 0.0)
-            n_docs = len(place)
-            sums = [place, *(np.bincount(doc[x], minlength=n_docs).astype(np.uint32) for x in (cw > 0, *(mine == k for k in range(1, K + 1))))]
-            sums += [np.bincount(doc, weights=x[gram], minlength=n_docs) for x in (np.log10(gcw + 0.1), logs)]
-            rows += [(0, 0, _packed(*(x[a:b] for x in sums)), int(buffer[a]), None, None) for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
-            del sums, logs
+            from_buffer = buffer[doc]
+            order = np.lexsort((place[doc], from_buffer))
+            ends = np.flatnonzero(np.append(from_buffer[order][1:] != from_buffer[order][:-1], True)) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                at = order[a:b]
+                rows.append((0, 0, _packed(place[doc[at]], _planes(mine[at]), _planes(cw[at])), int(from_buffer[at[0]]), None, None))
+            del from_buffer, order
             # the model, by context
             to = u.part(gh[seen], gw[seen])
             for p in np.unique(to).tolist():
                 at = seen[to == p]
                 at = at[np.argsort(gh[at], kind="stable")]
                 hp, runs = np.unique(gh[at], return_counts=True)
-                rows.append((1, p, _packed(hp, runs.astype(np.uint32), c[at].astype(np.uint32), gcw[at]), 0, None, _packed(gw[at].astype(np.uint32))))
-            for one in u.hot:
-                at = seen[gh[seen] == one]
-                if len(at):
-                    low = [float((c[at] == k).sum()) for k in range(1, K + 1)]
-                    rows.append((3, 0, None, one, [*low, float(c[at][c[at] > K].sum()), float(u.p(gcw[at]).sum()), float(c[at].sum())], None))
+                rows.append((1, p, _packed(hp, runs.astype(np.uint32), _planes(c[at]), _planes(gcw[at])), 0, None, _packed(gw[at])))
+            at = seen[np.isin(gh[seen], hot)]
+            which, of = np.unique(gh[at], return_inverse=True)
+            add = lambda x: np.bincount(of, weights=x, minlength=len(which))
+            sums = np.stack([*(add(c[at] == k) for k in range(1, K + 1)), add(np.where(c[at] > K, c[at], 0)), add(u.p(gcw[at])), add(c[at])], axis=1)
+            rows += [(3, 0, None, int(one), x.tolist(), None) for one, x in zip(which, sums, strict=True)]
             test = np.flatnonzero(~learn)
             to = u.part(h[test], w[test])
             for p in np.unique(to).tolist():
                 at = test[to == p]
                 ds, local = np.unique(doc[at], return_inverse=True)
-                rows.append((2, p, _packed(h[at], mine[at].astype(np.uint32), cw[at], local.astype(np.uint32), buffer[ds], place[ds]), 0, None, None))
+                rows.append((2, p, _packed(h[at], _planes(mine[at]), _planes(cw[at]), local.astype(np.uint32), buffer[ds], place[ds]), 0, None, None))
         return pd.DataFrame(rows, columns=["kind", "part", "blob", "a", "sums", "words"])
 
-    mine = table.filter(~F.col("w").isin(list(u.hot)) if len(u.hot) < 1000 else F.lit(True)).withColumn("part", F.pmod("w", F.lit(u.parts)).cast("int"))
+    mine = table.filter(F.col("c") <= HOT_TOKENS).withColumn("part", F.pmod("w", F.lit(u.parts)).cast("int"))
     return dealt.groupBy("part").cogroup(mine.groupBy("part")).applyInPandas(fold, FOUND)
 
 
+#: kind 1: a context of the model; 2: what held-out occurrences add to the documents of buffer a, by place
+WEIGHED = "kind int, bucket int, context long, n long, backoff double, words array<long>, counts array<long>, a long, late binary"
+_WEIGHED = pa.schema(
+    [("kind", pa.int32()), ("bucket", pa.int32()), ("context", pa.int64()), ("n", pa.int64()), ("backoff", pa.float64())]
+    + [("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("a", pa.int64()), ("late", pa.binary())]
+)
+
+
 def _backed_off(found: DataFrame, u: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float]]) -> DataFrame:
-    """(a, late): what the held-out occurrences of a part of contexts add to the documents
-    of buffer a, by place."""
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        model = [_unpacked(b, "i8 u4 u4 i8") for b in pdf.blob[pdf.kind == 1]]
-        test = [_unpacked(b, "i8 u4 i8 u4 i8 u2") for b in pdf.blob[pdf.kind == 2]]
-        if not test:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "late": pd.Series(dtype=object)})
-        base = np.cumsum([0, *(len(t[4]) for t in test)])
-        h, mine, cw = (np.concatenate([t[k] for t in test]) for k in range(3))
-        mine = mine.astype(np.int64)
-        doc = np.concatenate([t[3] + b for t, b in zip(test, base[:-1], strict=True)]).astype(np.int64)
-        buffer, place = (np.concatenate([t[k] for t in test]) for k in (4, 5))
-        names, c_h, alpha = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        if model:
-            mh, mc, mw = np.concatenate([np.repeat(m[0], m[1]) for m in model]), np.concatenate([m[2] for m in model]).astype(np.int64), np.concatenate([m[3] for m in model])
-            names, at = np.unique(mh, return_inverse=True)
-            c_h, kept, below = (np.bincount(at, weights=x) for x in (mc, discounted(mc, d), u.p(mw)))
+    """WEIGHED rows of each part of contexts. A hot context has a row in many parts, each
+    with some of its words and with the count and weight of all."""
+
+    def fold(pdf: pa.Table) -> pa.Table:
+        kind, blobs, names_ = pdf["kind"].to_pylist(), pdf["blob"].to_pylist(), pdf["words"].to_pylist()
+        part = pdf["part"][0].as_py() if pdf.num_rows else 0
+        got = [(_unpacked(b, "i8 u4 p8 p8"), _unpacked(w, "i8")[0]) for k, b, w in zip(kind, blobs, names_, strict=True) if k == 1]
+        test = [_unpacked(b, "i8 p8 p8 u4 i8 u2") for k, b in zip(kind, blobs, strict=True) if k == 2]
+        del pdf, blobs, names_
+        names, c_h, alpha, out = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), []
+        if got:
+            mh, mc, mw, mn = np.concatenate([np.repeat(m[0], m[1]) for m, _ in got]), np.concatenate([m[2] for m, _ in got]), np.concatenate([m[3] for m, _ in got]), np.concatenate([w for _, w in got])
+            del got
+            order = np.argsort(mh, kind="stable")
+            mh, mc, mw, mn = mh[order], mc[order], mw[order], mn[order]
+            first = np.flatnonzero(np.append(True, mh[1:] != mh[:-1]))
+            names = mh[first]
+            c_h, kept, below = (np.add.reduceat(x, first).astype(float) for x in (mc, discounted(mc, d), u.p(mw)))
             alpha = weight(kept / c_h, below)
-        for one, (many, a) in hot.items():
-            k = np.searchsorted(names, one)
-            if k < len(names) and names[k] == one:
-                c_h[k], alpha[k] = many, a
-            else:
-                names, c_h, alpha = np.insert(names, k, one), np.insert(c_h, k, many), np.insert(alpha, k, a)
-        k = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
-        there = names[k] == h if len(names) else np.zeros(len(h), bool)
-        many, a = (np.where(there, x[k], 1.0) if len(names) else np.ones(len(h)) for x in (c_h, alpha))
-        p = np.where(mine > 0, discounted(mine, d) / many, a * u.p(cw))
-        late = np.bincount(doc, weights=np.log10(p), minlength=len(buffer))
-        order = np.lexsort((place, buffer))  # a document comes from many parts of words
-        buffer, place, late = buffer[order], place[order], late[order]
-        first = np.flatnonzero(np.append(True, (buffer[1:] != buffer[:-1]) | (place[1:] != place[:-1])))
-        late, buffer, place = np.add.reduceat(late, first), buffer[first], place[first]
-        ends = np.flatnonzero(np.append(buffer[1:] != buffer[:-1], True)) + 1
-        spans = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-        return pd.DataFrame({"a": [int(buffer[x]) for x, _ in spans], "late": [_packed(place[x:y], late[x:y]) for x, y in spans]})
-
-    return found.filter("kind in (1, 2)").select("kind", "part", "blob").groupBy("part").applyInPandas(fold, "a long, late binary")
-
-
-def _documents(found: DataFrame, extra: DataFrame, d: np.ndarray) -> DataFrame:
-    """A row for every document of a buffer, with the sums of all parts."""
-    low = [float(np.log10(d[k] * k)) for k in range(1, K + 1)]
-
+            for one, (many, a) in hot.items():
+                k = np.searchsorted(names, one)
+                if k < len(names) and names[k] == one:
+                    c_h[k], alpha[k] = many, a
+            ends = pa.array(np.append(first, len(mh)).astype(np.int32))
+            n = len(names)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(mn)), pa.ListArray.from_arrays(ends, pa.array(mc))]
+            out.append(pa.Table.from_arrays([pa.array(np.full(n, 1, np.int32)), pa.array(np.full(n, part % BUCKETS, np.int32)), pa.array(names), pa.array(c_h.astype(np.int64)), pa.array(alpha), *lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=_WEIGHED))
+        if test:
+            base = np.cumsum([0, *(len(t[4]) for t in test)])
+            h, mine, cw = (np.concatenate([t[k] for t in test]) for k in range(3))
+            doc = np.concatenate([t[3] + b for t, b in zip(test, base[:-1], strict=True)]).astype(np.int64)
+            buffer, place = (np.concatenate([t[k] for t in test]) for k in (4, 5))
+            names, at = np.unique(np.concatenate([names, np.fromiter(hot, np.int64, len(hot))]), return_index=True)
+            c_h = np.concatenate([c_h, [many for many, _ in hot.values()]])[at]
+            alpha = np.concatenate([alpha, [a for _, a in hot.values()]])[at]
+            k = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
+            there = names[k] == h if len(names) else np.zeros(len(h), bool)
+            many, a = (np.where(there, x[k], 1.0) if len(names) else np.ones(len(h)) for x in (c_h, alpha))
+            p = np.where(mine > 0, discounted(mine, d) / many, a * u.p(cw))
+            late = np.bincount(doc, weights=np.log10(p), minlength=len(buffer))
+            order = np.lexsort((place, buffer))  # a document comes from many parts of words
+            buffer, place, late = buffer[order], place[order], late[order]
+            first = np.flatnonzero(np.append(True, (buffer[1:] != buffer[:-1]) | (place[1:] != place[:-1])))
+            late, buffer, place = np.add.reduceat(late, first), buffer[first], place[first]
+            ends = np.flatnonzero(np.append(buffer[1:] != buffer[:-1], True)) + 1
+            spans = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            n = len(spans)
+            none = [pa.nulls(n, _WEIGHED.field(k).type) for k in range(2, 7)]
+            out.append(pa.Table.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(np.zeros(n, np.int32)), *none, pa.array([int(buffer[x]) for x, _ in spans], pa.int64()), pa.array([_packed(place[x:y], late[x:y]) for x, y in spans], pa.binary())], schema=_WEIGHED))
+        return pa.concat_tables(out) if out else _WEIGHED.empty_table()
+
+    return found.filter("kind in (1, 2)").select("kind", "part", "blob", "words").groupBy("part").applyInArrow(fold, WEIGHED)
+
+
+def _documents(found: DataFrame, extra: DataFrame, d: np.ndarray, log_ends: float) -> DataFrame:
+    """A row for every document of a buffer, with the sums of all parts. log_ends is the
+    logarithm of the count of ends: a document has one, which is no context."""
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, there, out, n = _unpacked(pdf.blob[pdf.kind == 5].iloc[0], DOCUMENTS)
         known, base, seen, late = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
-        # a place is there once in each blob
         for blob in pdf.blob[pdf.kind == 0]:
-            place, k, *few, b, logs = _unpacked(blob, SUMS)
-            known[place] += k
-            base[place] += b
-            seen[place] += logs + sum(x * y for x, y in zip(few, low, strict=True))
+            place, c, cw = _unpacked(blob, SEEN)
+            add = lambda x, place=place: np.bincount(place, weights=x, minlength=len(ids))
+            known += np.bincount(place[cw > 0], minlength=len(ids))
+            base += add(np.log10(cw + 0.1))
+            # a token's context is the word before it: counts of contexts are those of all words but the end
+            seen += add(np.log10(np.where(c > 0, discounted(c, d), 1.0)) - np.log10(np.maximum(cw, 1)))
+        seen += log_ends
+        # a place is there once in each blob
         for blob in pdf.blob[pdf.kind == 6]:
             place, x = _unpacked(blob, "u2 f8")
             late[place] += x
@@ -333,26 +394,64 @@ def weight(kept: np.ndarray, below: np.ndarray) -> np.ndarray:
     return np.maximum(1 - kept, 1e-300) / np.maximum(1 - below, 1e-300)
 
 
-def scores(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+@dataclass
+class Model:
+    """A stored model: ``words`` (w, c), ``contexts`` (bucket, context, n, backoff, words,
+    counts) below ``path``, and what is bounded of it."""
+
+    words: DataFrame
+    contexts: DataFrame
+    path: str
+    unigrams: Unigrams
+    d: np.ndarray
 
-    Learns from rows that are not held out. Tokens: words with A-Z lower-cased, then
-    one end; null text is empty. base_score: add-0.1 unigrams with one unknown word;
-    score: log10 of the model's probability. A word unknown in training counts as the
-    unknown word, in any context. Without training rows base_score is that of N = V = 0
-    and every token has probability 1. Repeated rows are rows of their own; null
-    doc_ids are allowed; other columns are ignored. A partition of ``docs`` must give
-    its rows in the same order whenever it is read, as files do; write others first."""
+
+def evaluate(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, n_tokens and score of any texts by a stored model: of each token the
+    bigram's discounted probability, else its context's backoff weight times the word's,
+    else that of the unknown word. Null text is empty; repeated rows are rows of their
+    own; null doc_ids are allowed; an empty table gives an empty result."""
+    docs, _ = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "asked")
+
+    def each(batches):
+        only_memory("katz", _known.clear)
+        for batch in chunks(batches, 200):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = np.append(tokens(text), END)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), row)), pa.array(np.append(START, w[:-1])), pa.array(w)], ["row", "context", "w"])
+
+    u, d = model.unigrams, model.d
+    occurrences, _ = written(docs.select("row", "text").mapInArrow(each, "row long, context long, w long"), "asked-tokens")
+    total = u.total
+    less = lambda c, factors: F.coalesce(F.get(F.array(*map(F.lit, factors[1:].tolist())), (c - 1).cast("int")), F.lit(LARGE)) * c
+    known = keyed_join(occurrences, model.words, "w", "c", total, "left")
+    contexts = model.contexts.groupBy("context").agg(F.max("n").alias("n"), F.max("backoff").alias("backoff"))
+    weighed = keyed_join(known, contexts, "context", "n", total, "left")
+    # a bigram is looked up by both its words, so no word or context is a hot key
+    bigrams = model.contexts.select("context", F.explode(F.arrays_zip("words", "counts")).alias("b")).select("context", F.col("b.words").alias("w"), F.col("b.counts").alias("both"))
+    rows = weighed.join(bigrams, ["context", "w"], "left")
+    one = F.when(F.col("c").isNotNull(), less(F.col("c"), u.d) / max(1, total)).otherwise(F.lit(float(u.unknown)))
+    p = F.when(F.col("both").isNotNull(), less(F.col("both"), d) / F.col("n")).otherwise(F.coalesce("backoff", F.lit(1.0)) * one)
+    sums = rows.groupBy("row").agg(F.count("*").alias("n_tokens"), F.sum(F.log10(p)).alias("score"))
+    return docs.select("row", "doc_id").join(sums, "row").select("doc_id", "n_tokens", "score")
+
+
+def scored(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
+    """What ``scores`` says, and the model learned from rows that aren't held out."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    table, u = unigrams(docs)
+    buffers, buffers_at = written(_tokenised(docs), "tokens", "uncompressed")
+    table, u = unigrams(buffers)
     free_shuffles(spark)
-    found = None
-    for turn in range(min(rounds, u.parts)):
-        part, _ = written(_weighed(_dealt(docs, u, turn, min(rounds, u.parts)), table, u), "katz")
-        found = part if found is None else found.unionByName(part)
+    paths, rounds = [], min(rounds, u.parts)
+    for turn in range(rounds):
+        paths.append(new_path(spark, "katz"))
+        share = F.when(F.col("kind").isin(1, 2), F.col("part") % SHARES).otherwise(-1)
+        _weighed(_dealt(buffers, u, turn, rounds), table.filter(F.pmod("w", F.lit(u.parts)) % rounds == turn), u).withColumn("share", share).write.option("compression", "uncompressed").partitionBy("share").parquet(paths[-1])
         free_shuffles(spark)
-    free_shuffles(spark)
+    dropped(spark, buffers_at)
+    shares = [spark.read.schema(FOUND + ", share int").parquet(p) for p in paths]
+    found = reduce(DataFrame.unionByName, shares)
     of = [0.0] * (K + 1)
     for r in found.filter("kind = 4").select("sums").toLocalIterator():  # a row for each part
         of = [x + y for x, y in zip(of, r["sums"], strict=True)]
@@ -362,12 +461,35 @@ def scores(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame
     for r in found.filter("kind = 3").groupBy("a").agg(*sums).collect():  # at most one for each hot word
         kept = sum(r[f"s{k}"] * (k + 1) * d[k + 1] for k in range(K)) + LARGE * r[f"s{K}"]
         hot[r["a"]] = (r[f"s{K + 2}"], float(weight(np.array([kept / r[f"s{K + 2}"]]), np.array([r[f"s{K + 1}"]]))[0]))
-    extra = _backed_off(found, u, d, hot)
-    rows = _documents(found, extra, d)
+    path = new_path(spark, "ngrams")
+    for k in range(SHARES):
+        _backed_off(found.filter(F.col("share") == k), u, d, hot).write.mode("append").option("compression", "zstd").partitionBy("kind", "bucket").parquet(path)
+        dropped(spark, *(f"{p}/share={k}" for p in paths))
+        free_shuffles(spark)
+    found = reduce(DataFrame.unionByName, (spark.read.schema(FOUND + ", share int").parquet(p) for p in paths))
+    weighed = spark.read.schema(WEIGHED).parquet(path)
+    model = Model(table, weighed.filter("kind = 1").select("bucket", "context", "n", "backoff", "words", "counts"), path, u, d)
+    ends = (table.filter(F.col("w") == int(END)).agg(F.max("c")).first()[0]) or 1
+    rows, _ = written(_documents(found, weighed.filter("kind = 2").select("a", "late"), d, float(np.log10(max(ends, 1)))), "katz-documents")
+    dropped(spark, *paths)
     smooth = float(np.log10(u.total + 0.1 * (u.distinct + 1)))
     starts = hot.get(START, (1.0, 1.0))[0]
     score = F.when(F.col("held_out"), F.col("late")).otherwise(F.col("seen") - float(np.log10(max(starts, 1.0))))
-    return rows.select(
+    out = rows.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(u.total)).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * smooth).alias("base_score"), score.alias("score"),
     )
+    return out, model
+
+
+def scores(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+
+    Learns from rows that are not held out. Tokens: words with A-Z lower-cased, then
+    one end; null text is empty. base_score: add-0.1 unigrams with one unknown word;
+    score: log10 of the model's probability. A word unknown in training counts as the
+    unknown word, in any context. Without training rows base_score is that of N = V = 0
+    and every token has probability 1. A long text is one buffer, whole. Repeated rows are
+    rows of their own; null doc_ids are allowed; other columns are ignored, whatever their
+    names; an empty table gives an empty result."""
+    return scored(docs, held_out, rounds)[0]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, dropped, free_shuffles, keyed_join, words, written
+from quarry.llm.common import chunks, dropped, free_shuffles, keyed_join, only_memory, words, written
 from quarry.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -37,7 +37,7 @@ STAR_PART = 0.45
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Pairs of a hub that meet one copy of its row, about.
 PAIRS = 2000
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 300_000
 
 
 class _Hashes(dict):
@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) ->
     """doc_id, n_shingles, print (of the whole set), sig (16 bits of each minimum) and bands."""
 
     def each(batches):
+        only_memory("shingles", _known.clear)
         a, b = universal(bands * rows)
         for batch in chunks(batches, 500):
             out = [[], [], [], []]
@@ -138,6 +139,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     both = _both(pairs, docs, "text").select("u", "v", "u_text", "v_text")
 
     def each(batches):
+        only_memory("shingles", _known.clear)
         held = (None, None)
         for batch in chunks(batches, 500):
             rows = []
@@ -229,7 +231,7 @@ class Cells:
         """Blocks that the members of each group are dealt into, by number and by size of their sets."""
         sized = side.join(self.signed.select("doc_id", "n_shingles"), "doc_id")
         n = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-        return sized.groupBy("group").agg(n.alias(name), *more)
+        return sized.groupBy("group").agg(n.alias(name), F.count("*").alias(f"{name}_rows"), *more)
 
     def heavy(self, side: DataFrame) -> bool:
         return not self._blocks(side, "n").filter("n > 1").isEmpty()
@@ -244,11 +246,12 @@ class Cells:
         left, right = of(left), of(right)
         ends = lambda name: (F.min("component").alias(f"a_{name}"), F.max("component").alias(f"b_{name}"))
         sizes = self._blocks(left, "n_left", *ends("l")).join(self._blocks(right, "n_right", *ends("r")), "group")
-        sizes = sizes.filter("a_l <> b_l or a_r <> b_r or a_l <> a_r").select("group", "n_left", "n_right")
+        sizes = sizes.filter("a_l <> b_l or a_r <> b_r or a_l <> a_r").drop("a_l", "b_l", "a_r", "b_r")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         block = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
-        a = left.join(sizes, "group").select("group", block("n_left").alias("i"), every("n_right").alias("j"), "doc_id", "component", F.lit(True).alias("is_left"))
-        b = right.join(sizes, "group").select("group", every("n_left").alias("i"), block("n_right").alias("j"), "doc_id", "component", F.lit(False).alias("is_left"))
+        dealt = lambda side, name: keyed_join(side, sizes, "group", f"{name}_rows", side.count())
+        a = dealt(left, "n_left").select("group", block("n_left").alias("i"), every("n_right").alias("j"), "doc_id", "component", F.lit(True).alias("is_left"))
+        b = dealt(right, "n_right").select("group", every("n_left").alias("i"), block("n_right").alias("j"), "doc_id", "component", F.lit(False).alias("is_left"))
         rows = a.unionByName(b)
         rows = (rows if which is None else rows.filter(which)).join(self.signed, "doc_id").join(self.docs, "doc_id")
         n, percent = self.n, self.percent

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks
+from quarry.llm.common import chunks, only_memory
 
 MAX_TOKENS = 4096
 END_ID = 1
-#: Words that a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 700_000
+#: Bytes of words and ids that a Python worker remembers, twice, and what an entry takes besides.
+REMEMBERED_BYTES, ENTRY_BYTES = 90_000_000, 190
 #: Python splits at these four, the tokenizer's \s doesn't.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case depends on what stands beside them or is two letters.
@@ -44,7 +44,7 @@ class _Words(dict):
     asked for lately go."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.old, self.letters = tokenizer, {}, _byte_letters()
+        self.tokenizer, self.old, self.letters, self.size = tokenizer, {}, _byte_letters(), 0
         self.merge = tokenizer.model.tokenize
 
     def raw(self, text: str) -> bytes:
@@ -66,12 +66,19 @@ class _Words(dict):
                 found = self.raw(word)
         if len(word) <= 64:
             self[word] = found
+            self.size += len(word) + len(found) + ENTRY_BYTES
         return found
 
     def trim(self) -> None:
-        if len(self) > REMEMBERED_WORDS:
+        if self.size > REMEMBERED_BYTES:
+            self.old = {}
             self.old = dict(self)
             self.clear()
+            self.size = 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.size = {}, 0
 
 
 class WordTokenizer:
@@ -101,6 +108,7 @@ def tokenizer_of(path: str) -> WordTokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if path not in _held:
         _held[path] = WordTokenizer(path)
+    only_memory(f"tokens {path}", _held[path].known.forget)
     return _held[path]
 
 

@@ -124,6 +124,26 @@ def test_katz_equals_brute_force(spark, monkeypatch, small):
         assert r["base_score"] == pytest.approx(w[3], rel=1e-9) and r["score"] == pytest.approx(w[4], rel=1e-9)
 
 
+def test_katz_stored_model(spark):
+    """The stored tables score any text as the brute-force model does, held out or not."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm.common import crc_mod
+
+    rows = random_docs(150) + [(902, "never seen"), (903, "w1 " * 500)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want, _ = brute(rows, held)
+    _, model = katz.scored(docs_of(spark, rows), crc_mod("doc_id", 10) == 0)
+    got = katz.evaluate(docs_of(spark, [*rows, (904, None)]).withColumn("row", F.lit("x")), model).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        if r["doc_id"] != 904:
+            assert r["n_tokens"] == want[r["doc_id"]][0] and r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
+    mass = model.contexts.groupBy("context").agg(F.sum(F.size("words")).alias("n"), F.count_distinct("backoff").alias("k")).collect()
+    assert all(r["k"] == 1 for r in mass)
+    assert katz.evaluate(docs_of(spark, []).limit(0), model).count() == 0
+
+
 def test_katz_awkward(spark):
     from pyspark.sql import functions as F
 
