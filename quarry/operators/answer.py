@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
+# The citation tag, and what is cleaned around tags.
 CITE = r"\[cite:([a-zA-Z0-9]+)\]"
 NOTHING_FOUND = "I could not find this in the loaded corpus. Answers come from retrieved source documents only."
 
 
-def question_type(text: Column, chapter_word: str = "canto") -> Column:
+# Kinds of question in order of priority; each line of words must be met, by one of its
+# words anywhere ("has") or at the start ("starts").
+QUESTION_KINDS = (
+    ("relationship", (("has", "connect", "relationship", "related", "between"),)),
+    ("who", (("starts", "who"),)),
+    ("where_established", (("has", "where"), ("has", "establish", "story", "canto"))),
+    ("event", (("starts", "what happened"),)),
+    ("event", (("has", "during canto"),)),
+    ("what", (("starts", "what"),)),
+)
+# Types of document suggested for a kind of question, and where a word stands in it.
+SUGGESTED = {
+    "who": ("character", "sinner", "faction"),
+    "event": ("story_transcript", "character"),
+    "relationship": ("character", "sinner", "faction", "story_transcript"),
+}
+SUGGESTED_FOR_WORD = ("mirror", ("world", "character", "sinner"))
+
+
+def question_type(text: Column) -> Column:
+    """The first kind of QUESTION_KINDS all of whose lines are met, else other."""
     q = F.lower(text)
-    has = lambda *ws: F.greatest(*[q.contains(w) for w in ws], F.lit(False))
-    return (
-        F.when(has("connect", "relationship", "related", "between"), "relationship")
-        .when(q.startswith("who"), "who")
-        .when(q.contains("where") & has("establish", "story", chapter_word), "where_established")
-        .when(q.startswith("what happened") | q.contains(f"during {chapter_word}"), "event")
-        .when(q.startswith("what"), "what")
-        .otherwise("other")
-    )
+    met = {"has": q.contains, "starts": q.startswith}
+    one = lambda line: reduce(Column.__or__, [met[line[0]](w) for w in line[1:]])
+    return reduce(lambda rest, kind: F.when(reduce(Column.__and__, map(one, kind[1])), kind[0]).otherwise(rest), reversed(QUESTION_KINDS), F.lit("other"))
 
 
 def suggested_types(kind: Column, text: Column) -> Column:
-    arr = lambda *xs: F.array(*map(F.lit, xs))
-    return (
-        F.when(kind == "who", arr("character", "sinner", "faction"))
-        .when(kind == "event", arr("story_transcript", "character"))
-        .when(kind == "relationship", arr("character", "sinner", "faction", "story_transcript"))
-        .when(F.lower(text).contains("mirror"), arr("world", "character", "sinner"))
-        .otherwise(F.array().cast("array<string>"))
-    )
+    types = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    word, for_word = SUGGESTED_FOR_WORD
+    rest = F.when(F.lower(text).contains(word), types(for_word)).otherwise(types(()))
+    return reduce(lambda other, k: F.when(kind == k, types(SUGGESTED[k])).otherwise(other), SUGGESTED, rest)
 
 
 def analyse(queries: DataFrame, mentioned: DataFrame) -> DataFrame:

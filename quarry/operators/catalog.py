@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quarry.functions import text as T
-from quarry.operators.classify import TYPES
+from quarry.operators.classify import TYPES, document_type
 
 
 def unknown_type(types: list[str]) -> str | None:
@@ -31,12 +31,25 @@ def search(docs: DataFrame, types: list[str] | None = None, needle: str = "", ch
     if types:
         out = out.filter(F.col("document_type").isin(*types))
     if needle.strip():
-        out = out.filter(F.contains(F.lower(F.concat_ws("\n", "title", "plain_text")), F.lower(F.lit(needle.strip()))))
+        out = out.filter(F.contains(F.lower(F.concat_ws(" ", "title", "plain_text")), F.lower(F.lit(needle.strip()))))
     if chapter.strip():
         out = out.filter(F.exists("chapters", lambda c: T.fold(c) == T.fold(F.lit(chapter))))
     return out
 
 
+def listed(docs: DataFrame, catalog_ids: DataFrame) -> DataFrame:
+    """Documents that the catalog names."""
+    return docs.join(catalog_ids.select("doc_id"), "doc_id", "left_semi")
+
+
+def in_order(docs: DataFrame, folded: bool = True) -> DataFrame:
+    """A corpus in its order: by title, folded after an update and as it is after a full
+    ingest, then by page_id; chunks by folded title, document and ordinal."""
+    title = T.fold(F.col("title")) if folded else F.col("title")
+    rest = ["doc_id", "ordinal"] if "ordinal" in docs.columns else ["page_id"]
+    return docs.orderBy(title, *rest)
+
+
 def page(docs: DataFrame, number: int = 1, per_page: int = 24) -> DataFrame:
     """A page by folded title, then doc_id."""
     return docs.orderBy(T.fold(F.col("title")), "doc_id").offset((number - 1) * per_page).limit(per_page)
@@ -62,11 +75,48 @@ def sample_titles(docs: DataFrame, k: int = 5) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(W.partitionBy("document_type").orderBy(F.lower("title"), "title"))).filter(F.col("n") <= k)
 
 
-def ingest_summary(kept: DataFrame, skipped: DataFrame) -> DataFrame:
-    """One row: kept, skipped, skipped of unknown type, and whether categories are known."""
-    a = kept.agg(F.count("*").alias("kept"))
-    b = skipped.agg(F.count("*").alias("skipped"), F.count(F.when(F.col("document_type").isNull(), 1)).alias("unknown"), F.coalesce(F.max(F.size("categories") > 0), F.lit(False)).alias("has_categories"))
-    return a.crossJoin(b)  # a row each
+# Types of pages that an ingest skips.
+SKIPPED_TYPES = ("identity", "ego", "other")
+
+
+def skipped_pages(state: dict, spark) -> tuple[DataFrame, int, bool]:
+    """Skipped pages (page_id, title, document_type, categories) of an ingest's state, how
+    many are unknown, and whether categories were kept. A state of the older form names
+    ids alone: titles come from its listings and types from titles."""
+    schema = "page_id long, title string, document_type string, categories array<string>"
+    ids = sorted({int(x) for x in state.get("skipped_page_ids", [])})
+    saved = state.get("skipped_documents") or []
+    if saved:
+        rows = spark.createDataFrame([(int(x["page_id"]) if "page_id" in x else None, str(x.get("title", "")), str(x.get("document_type", "other")), [str(c) for c in x.get("categories", [])]) for x in saved], schema)
+        return rows, max(0, len(ids) - len(saved)), True
+    none = F.array().cast("array<string>")
+    listed = spark.createDataFrame([(int(x["page_id"]), str(x.get("title", ""))) for x in state.get("listings", []) if "page_id" in x], "page_id long, title string").dropDuplicates(["page_id"])
+    rows = spark.createDataFrame([(i,) for i in ids], "page_id long").join(listed, "page_id", "left")
+    rows = rows.withColumn("document_type", document_type(F.col("title"), none)).withColumn("categories", none)
+    unknown = rows.filter("title is null or document_type = 'other'").count()
+    return rows.filter("title is not null"), unknown, False
+
+
+def ingest_stats(kept: DataFrame, skipped: DataFrame, listed: int = 0, skipped_ids: int | None = None, unknown: int = 0, has_categories: bool = True) -> dict:
+    """All that is told of an ingest: numbers of documents, listed and skipped pages, of
+    types, the most frequent categories and sample titles of skipped pages."""
+    on = skipped.filter(F.col("document_type").isin(*SKIPPED_TYPES))
+    known = on if has_categories else on.filter("document_type <> 'other'")
+    types = {r["document_type"]: r["n"] for r in type_counts(kept, known).collect()}  # a dozen at most
+    samples = {r: [] for r in ("identity", "ego")}
+    for r in sample_titles(skipped.filter("document_type in ('identity', 'ego') and title <> ''")).orderBy("n").collect():
+        samples[r["document_type"]].append(r["title"])
+    top = top_categories(on.select(F.col("page_id").alias("pos"), "categories"))
+    return {
+        "documents_retained": kept.count(), "pages_listed": listed, "document_type_counts": dict(sorted(types.items())), "skipped_total": skipped.count() if skipped_ids is None else skipped_ids,
+        "skipped_unknown": unknown, "top_skipped_categories": [(r["category"], r["n"]) for r in top.collect()], "categories_available": has_categories,
+        "identity_samples": samples["identity"], "ego_samples": samples["ego"],
+    }
+
+
+def stats_of_state(kept: DataFrame, state: dict) -> dict:
+    rows, unknown, has = skipped_pages(state, kept.sparkSession)
+    return ingest_stats(kept, rows, len(state.get("listings", [])), len({int(x) for x in state.get("skipped_page_ids", [])}), unknown, has)
 
 
 def checksum(chunks: DataFrame) -> DataFrame:

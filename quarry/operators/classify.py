@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,33 +17,47 @@ OVERVIEW_TITLES = ("identity", "e.g.o.", "e.g.o", "ego")
 SINNER_TITLES = ("yi sang", "faust", "don quixote", "ryoshu", "meursault", "hong lu", "heathcliff", "ishmael", "rodion", "sinclair", "outis", "gregor")
 
 
+# Rules in order, (type, field, test, values). A rule holds if a value passes its test on the
+# title or on a category; "media" is a title test of its own. "unless" takes a category that forbids the rule.
+RULES = (
+    ("world", "title", "is", OVERVIEW_TITLES),
+    ("other", "title", "media", ()),
+    ("identity", "category", "has", ("identit",)),
+    ("identity", "title", "ends", ("/identity", "/identity story")),
+    ("ego", "title", "has", ("e.g.o",), "abnormality"),
+    ("ego", "category", "has", ("e.g.o",), "abnormality"),
+    ("ego", "category", "is", ("ego",), "abnormality"),
+    ("sinner", "category", "has", ("sinner",)),
+    ("sinner", "title", "is", SINNER_TITLES),
+    ("abnormality", "category", "has", ("abnormality",)),
+    ("faction", "category", "has", ("faction", "syndicate", "wing")),
+    ("location", "category", "has", ("location", "district")),
+    ("character", "category", "has", ("character",)),
+    ("story_transcript", "category", "is", ("story", "cantos")),
+    ("story_transcript", "category", "starts", ("canto ",)),
+    ("story_transcript", "title", "starts", ("canto ",)),
+    ("story_transcript", "title", "has", ("intervallo",)),
+    ("event", "category", "has", ("event",)),
+    ("world", "category", "has", ("world", "lore", "the city")),
+    ("faction", "title", "has", ("league of nine",)),
+    ("world", "title", "is", ("the mirror",)),
+)
+
+
 def document_type(title: Column, categories: Column) -> Column:
-    """Type by the first rule that holds; rules are (type, condition) in order."""
+    """Type by the first of RULES that holds."""
     t = F.lower(T.strip(title))
     cats = F.transform(F.coalesce(categories, F.array().cast("array<string>")), F.lower)
-    some = lambda *parts: F.exists(cats, lambda c: F.greatest(*[c.contains(p) for p in parts], F.lit(False)))
-    equal = lambda *names: F.exists(cats, lambda c: c.isin(*names))
-    rules = [
-        ("world", t.isin(*OVERVIEW_TITLES)),
-        ("other", T.is_media_page(title)),
-        ("identity", some("identit") | t.endswith("/identity") | t.endswith("/identity story")),
-        ("ego", (t.contains("e.g.o") | some("e.g.o") | equal("ego")) & ~equal("abnormality")),
-        ("sinner", some("sinner") | t.isin(*SINNER_TITLES)),
-        ("abnormality", some("abnormality")),
-        ("faction", some("faction", "syndicate", "wing")),
-        ("location", some("location", "district")),
-        ("character", some("character")),
-        ("story_transcript", equal("story", "cantos") | F.exists(cats, lambda c: c.startswith("canto "))),
-        ("story_transcript", t.startswith("canto ") | t.contains("intervallo")),
-        ("event", some("event")),
-        ("world", some("world", "lore", "the city")),
-        ("faction", t.contains("league of nine")),
-        ("world", t == "the mirror"),
-    ]
-    out = F
-    for kind, holds in rules:
-        out = out.when(holds, F.lit(kind))
-    return out.otherwise(F.lit("other"))
+    tests = {"is": lambda x, v: x == v, "has": lambda x, v: x.contains(v), "starts": lambda x, v: x.startswith(v), "ends": lambda x, v: x.endswith(v)}
+
+    def holds(field, test, values, unless=None):
+        if test == "media":
+            return T.is_media_page(title)
+        some = lambda x: reduce(Column.__or__, [tests[test](x, v) for v in values])
+        met = some(t) if field == "title" else F.exists(cats, some)
+        return met & ~F.array_contains(cats, unless) if unless else met
+
+    return reduce(lambda rest, rule: F.when(holds(*rule[1:]), rule[0]).otherwise(rest), reversed(RULES), F.lit("other"))
 
 
 def is_retained(kind: Column) -> Column:

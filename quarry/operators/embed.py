@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,3 +39,28 @@ def model_embedding(rows: DataFrame, embed: Callable[[list[str]], list[list[floa
             yield pdf[["id", "text"]].assign(embedding=[list(map(float, v)) for v in made])
 
     return rows.select("id", "text").mapInPandas(each, f"id {rows.schema['id'].dataType.simpleString()}, text string, embedding array<float>")
+
+
+@dataclass
+class Embedder:
+    """A model of the caller, or without one the pseudo-random vectors."""
+
+    dims: int = 1536
+    call: Callable[[list[str]], list[list[float]]] | None = None
+    name: str = ""
+    size: int = 128
+
+    @property
+    def provider(self) -> str:
+        return "hash" if self.call is None else "model"
+
+    @property
+    def model(self) -> str:
+        return self.name if self.call is not None else "sha256-random"
+
+    def embedded(self, rows: DataFrame) -> DataFrame:
+        """rows (chunk_id, embed_text) with embedding."""
+        if self.call is None:
+            return rows.withColumn("embedding", hash_embedding(F.col("embed_text"), self.dims))
+        made = model_embedding(rows.select(F.col("chunk_id").alias("id"), F.col("embed_text").alias("text")), self.call, self.size)
+        return made.select(F.col("id").alias("chunk_id"), F.col("text").alias("embed_text"), "embedding")

@@ -41,11 +41,39 @@ def item_metrics(relevant: DataFrame, ranked: DataFrame, k: int = 8) -> DataFram
 
 def report(items: DataFrame, metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts by status and means over evaluated items, overall or by columns of items
-    (query_id, status, ...). Unresolved items are left out of the means."""
+    (query_id, status, ...). Unresolved items are left out of the means. A missing
+    question_type counts as "other"; groups come in order."""
     rows = items.join(metrics, "query_id", "left").withColumn("on", F.col("status") != "unresolved")
+    if "question_type" in rows.columns:
+        rows = rows.withColumn("question_type", F.coalesce(F.nullif("question_type", F.lit("")), F.lit("other")))
     means = [F.round(F.coalesce(F.avg(F.when(F.col("on"), F.coalesce(m, F.lit(0.0)))), F.lit(0.0)), 6).alias(m) for m in ("recall", "mrr", "ndcg")]
     counts = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("resolved", "partial", "unresolved")]
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("questions"), F.count(F.when(F.col("on"), 1)).alias("evaluated"), *counts, *means)
+    out = rows.groupBy(*(by or [])).agg(F.count("*").alias("questions"), F.count(F.when(F.col("on"), 1)).alias("evaluated"), *counts, *means)
+    return out.orderBy(*by) if by else out
+
+
+def unresolved_labels(resolved: DataFrame) -> DataFrame:
+    """Items of ``resolve_gold`` with a label that was not found, and those labels."""
+    return resolved.filter((F.size("unresolved_ids") > 0) | (F.size("unresolved_titles") > 0)).select("id", "unresolved_ids", "unresolved_titles")
+
+
+def first_resolved(items: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``limit`` items (pos, id, resolved_ids, ...) that have a resolved label,
+    and a row (skipped): unresolved ones before the last of these, or all if there are fewer."""
+    on = F.size("resolved_ids") > 0
+    taken = items.filter(on).orderBy("pos").limit(limit)
+    end = taken.agg(F.count("*").alias("taken"), F.max("pos").alias("last"))
+    skipped = items.filter(~on).join(end).filter((F.col("taken") < limit) | (F.col("pos") < F.col("last"))).agg(F.count("*").alias("skipped"))  # end is a row
+    return taken, skipped
+
+
+def arm_means(rows: DataFrame, arms: list[str], metrics: tuple[str, ...] = ("recall", "mrr", "ndcg")) -> DataFrame:
+    """(arm, n, means) of rows with <arm>_<metric> columns; the means of no rows are 0."""
+    out = None
+    for arm in arms:
+        part = rows.agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(f"{arm}_{m}"), F.lit(0.0)), 6).alias(m) for m in metrics)).select(F.lit(arm).alias("arm"), "n", *metrics)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def lexical_coverage(answer: Column, points: Column) -> Column:

@@ -51,13 +51,16 @@ def neighbours(entities: DataFrame, edges: DataFrame, asked: DataFrame, limit: i
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= limit)
 
 
-def related(entities: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, related_id, title, relations) for pages (doc_id): other pages at the end
-    of an edge, with their distinct (relation, direction) in order."""
+def related(entities: DataFrame, edges: DataFrame, pages: DataFrame, limit: int = 12) -> DataFrame:
+    """(doc_id, related_id, title, relations, rank) for pages (doc_id): other pages at the
+    end of an edge, by folded title and id, with their distinct (relation, direction) in
+    order. Media pages go after the limit, so fewer may be left."""
     own = entities.join(pages.select("doc_id").distinct(), "doc_id").select("key", F.col("doc_id").alias("page"))
     near = own.join(_directed(edges).drop("doc_id"), "key").join(entities.filter("doc_id is not null").select(F.col("key").alias("other"), F.col("doc_id").alias("related_id"), "title"), "other")
     near = near.filter("related_id <> page")
-    return near.groupBy(F.col("page").alias("doc_id"), "related_id", "title").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "rel", "direction"))), ",").alias("relations"))
+    found = near.groupBy(F.col("page").alias("doc_id"), "related_id", "title").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "rel", "direction"))), ",").alias("relations"))
+    order = W.partitionBy("doc_id").orderBy(T.fold(F.col("title")), "related_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= limit) & ~T.is_media_page(F.col("title")))
 
 
 def overlapping(entities: DataFrame, queries: DataFrame, limit: int = 4) -> DataFrame:
@@ -94,12 +97,12 @@ def mentions(entities: DataFrame, queries: DataFrame, limit: int = 4) -> DataFra
     return chosen.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("start", "key"))).filter(F.col("place") <= limit)
 
 
-def graph_topk(ranked_docs: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, per_doc: int = 2, bounded: bool = True) -> DataFrame:
+def graph_topk(ranked_docs: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, per_doc: int = 2) -> DataFrame:
     """Chunks (id, doc_id, title, text, ordinal) of neighbour documents (query_id, doc_id,
     rank): by document, word overlap with the question, ordinal; two of a document at
-    most; score 1 / rank + 0.01 * overlap. queries go to every task if ``bounded``."""
+    most; score 1 / rank + 0.01 * overlap."""
     q = queries.select("query_id", T.words(T.fold(F.col("text"))).alias("q"))
-    rows = chunks.join(ranked_docs.select("query_id", "doc_id", F.col("rank").alias("doc_rank")), "doc_id").join(F.broadcast(q) if bounded else q, "query_id")
+    rows = chunks.join(ranked_docs.select("query_id", "doc_id", F.col("rank").alias("doc_rank")), "doc_id").join(q, "query_id")
     rows = rows.withColumn("overlap", F.size(F.array_intersect("q", T.words(T.fold(F.concat_ws(" ", "title", "text"))))))
     in_doc = F.row_number().over(W.partitionBy("query_id", "doc_id").orderBy(F.desc("overlap"), "ordinal", "id"))
     rows = rows.withColumn("n", in_doc).filter(F.col("n") <= per_doc)

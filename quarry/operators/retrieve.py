@@ -7,7 +7,9 @@ scores go to the smaller id.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,6 +17,8 @@ from pyspark.sql.window import Window as W
 from quarry.functions import text as T
 
 K1, B = 1.5, 0.75
+#: Parts that stored postings are dealt into by term, and vectors that a side of a block holds.
+BUCKETS, VECTORS = 64, 4096
 
 
 def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
@@ -23,25 +27,36 @@ def ranked(hits: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.filter(F.col("rank") <= k)
 
 
-def keyword_postings(chunks: DataFrame) -> DataFrame:
-    """(term, id, weight) of chunks (id, text): idf = ln(1 + (N - df + 0.5) / (df + 0.5)),
-    times tf / (tf + k1 * (1 - b + b * length / mean length))."""
-    terms = chunks.select("id", F.explode(T.keyword_terms(F.col("text"))).alias("term"))
-    tf = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    lengths = tf.groupBy("id").agg(F.sum("tf").alias("dl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    corpus = chunks.agg(F.count("*").alias("n"), F.sum(F.size(T.keyword_terms(F.col("text")))).alias("total"))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = F.col("total") / F.col("n")
-    weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    return tf.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(corpus)).select("term", "id", weight.alias("weight"))
+@dataclass
+class KeywordIndex:
+    """postings (term, id, tf, dl: terms of the chunk), terms (term, df) and corpus, one
+    row (n chunks, total terms)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
 
+def keyword_index(chunks: DataFrame) -> KeywordIndex:
+    """The index of chunks (id, text); a text is split once, and only counts are shuffled."""
+    found = chunks.select("id", T.keyword_terms(F.col("text")).alias("terms"))
+    postings = found.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+    corpus = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("total"))
+    return KeywordIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), corpus)
 
-def keyword_topk(postings: DataFrame, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
-    """Top k by summed weight. With ``keep`` (ids that pass a filter) 4k are fetched
-    first and filtered then, so that fewer than k can be left."""
+
+def keyword_topk(index: KeywordIndex, queries: DataFrame, k: int, keep: DataFrame | None = None) -> DataFrame:
+    """Top k by summed weights of the question's terms: idf = ln(1 + (N - df + 0.5) / (df + 0.5)),
+    times tf / (tf + k1 * (1 - b + b * length / mean length)). Postings of other terms are
+    never weighed. With ``keep`` (ids that pass a filter) 4k are fetched first and filtered
+    then, so that fewer than k can be left."""
+    one = index.corpus.first()
+    n, mean = one["n"], one["total"] / max(1, one["n"]) or 1.0
     asked = queries.select("query_id", F.explode(F.array_distinct(T.keyword_terms(F.col("text")))).alias("term"))
-    hits = postings.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    wanted = asked.join(index.terms, "term")
+    hits = index.postings.join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     if keep is not None:
         hits = ranked(hits, 4 * k).join(keep.select("id"), "id", "left_semi").drop("rank")
     return ranked(hits, k).withColumn("retriever", F.lit("keyword"))
@@ -51,15 +66,38 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, bounded: bool = True) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
     """Exact top k by inner product; filter ``vectors`` before, so none is missing.
-    queries (query_id, v) are a batch of bounded size and go to every task, if not told
-    otherwise."""
-    asked = queries.select("query_id", F.col("v").alias("_q"))
-    pairs = vectors.select("id", "v").crossJoin(F.broadcast(asked) if bounded else asked.hint("shuffle_replicate_nl"))
-    if exclude_self:
-        pairs = pairs.filter("id <> query_id")
-    return ranked(pairs.select("query_id", "id", F.round(dot(F.col("v"), F.col("_q")), 6).alias("score")), k).withColumn("retriever", F.lit("vector"))
+
+    Vectors (id, v) and queries (query_id, v) are dealt into blocks, and each pair of
+    blocks meets once in a task as two matrices; k candidates a question leave it."""
+    n, m = vectors.count(), queries.count()
+    a, b = max(1, -(-n // VECTORS)), max(1, -(-m // VECTORS))
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    left = vectors.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(a)).cast("int").alias("i"), every(b).alias("j"))
+    right = queries.select("query_id", "v", every(a).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(b)).cast("int").alias("j"))
+
+    def best(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = []
+        if len(some) and len(asked):
+            ids = some["id"].to_numpy()
+            x = np.stack(some["v"].to_numpy()).astype(np.float64)
+            for at in range(0, len(asked), 256):
+                part = asked.iloc[at : at + 256]
+                scores = np.round(np.stack(part["v"].to_numpy()).astype(np.float64) @ x.T, 6)
+                for q, row in zip(part["query_id"], scores, strict=True):
+                    if exclude_self:
+                        row = np.where(ids == q, -np.inf, row)
+                    least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    near = np.flatnonzero((row >= least) & (row > -np.inf))  # ties go on to the ranking
+                    out += [(q, i, s) for i, s in zip(ids[near].tolist(), row[near].tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    kinds = ", ".join(f"{name} {df.schema[name].dataType.simpleString()}" for name, df in (("query_id", queries), ("id", vectors)))
+    hits = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"{kinds}, score double")
+    return ranked(hits, k).withColumn("retriever", F.lit("vector"))
 
 
 def fuse(lists: list[DataFrame], rrf_k: int = 60, k: int = 50) -> DataFrame:
@@ -103,8 +141,6 @@ def model_rerank(hits: DataFrame, score: Callable) -> DataFrame:
 
     @F.pandas_udf("double")
     def run(query, text):
-        import pandas as pd
-
         return pd.Series([float(x) for x in score(query.tolist(), text.tolist())])
 
     return reranked(hits, run("query_text", F.concat_ws("\n", "title", "text")), "+model")
@@ -130,3 +166,29 @@ def deduplicated_docs(hits: DataFrame) -> DataFrame:
     """Documents of hits (query_id, doc_id, rank) in order of first appearance."""
     first = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("first"))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("first", "doc_id"))).drop("first")
+
+
+def to_hits(chunks: DataFrame, scored: DataFrame) -> DataFrame:
+    """Hits (query_id, id, score, rank, retriever) with what a reader sees of their chunks,
+    and the four keys that filters look at as metadata."""
+    metadata = F.struct(*(F.col(c) if c in chunks.columns else F.lit(None).alias(c) for c in ("document_type", "entities", "chapters", "source_id"))).alias("metadata")
+    shown = chunks.select(F.col("chunk_id").alias("id"), "doc_id", "text", "title", "url", "section_path", metadata)
+    return scored.join(shown, "id").select("query_id", F.col("id").alias("chunk_id"), "doc_id", "text", "title", "url", "section_path", "metadata", "score", "rank", "retriever")
+
+
+def deduplicated_hits(lists: list[DataFrame], k: int | None = None) -> DataFrame:
+    """(query_id, id, rank): hits of several lists (query_id, id, rank) as one, list after
+    list, each id at its first place."""
+    rows = None
+    for n, hits in enumerate(lists):
+        part = hits.select("query_id", "id", F.struct(F.lit(n).alias("list_no"), F.col("rank").alias("at")).alias("place"))
+        rows = part if rows is None else rows.unionByName(part)
+    first = rows.groupBy("query_id", "id").agg(F.min("place").alias("place"))
+    out = first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("place", "id"))).drop("place")
+    return out if k is None else out.filter(F.col("rank") <= k)
+
+
+def shown_sources(cited: DataFrame, hits: DataFrame, most: int = 5) -> DataFrame:
+    """Sources to show of an answer: the cited ids (query_id, id, rank) in order, then
+    first hits that aren't cited, ``most`` in all."""
+    return deduplicated_hits([cited, hits], most).join(cited.select("query_id", "id", F.lit(True).alias("cited")), ["query_id", "id"], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))

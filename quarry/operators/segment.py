@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quarry.functions import text as T
 
@@ -37,9 +36,13 @@ def split_long(text: Column, most: int = MAX_CHARS) -> Column:
     def flush(a):
         return F.when(a["buf"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["buf"])))
 
-    def add(a, p):
+    # sentences are packed before, once a paragraph, and only where one is too long
+    sentences = lambda p: F.when(F.length(p) > most, _greedy(F.split(p, r"(?U)(?<=[.!?])\s+"), most, " "))
+    cut = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), sentences(p).alias("cut")))
+
+    def add(a, x):
+        p, cut = x["p"], x["cut"]
         fits = F.length(a["buf"]) + F.length(p) + 2 <= most
-        cut = _greedy(F.split(p, r"(?U)(?<=[.!?])\s+"), most, " ")
         body = F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))
         return (
             F.when(fits, F.struct(T.strip(F.concat(a["buf"], F.lit("\n\n"), p)).alias("buf"), a["out"].alias("out")))
@@ -47,7 +50,7 @@ def split_long(text: Column, most: int = MAX_CHARS) -> Column:
             .otherwise(F.struct(F.coalesce(F.get(cut, F.size(cut) - 1), F.lit("")).alias("buf"), F.concat(flush(a), body).alias("out")))
         )
 
-    packed = F.aggregate(paragraphs, start, add, flush)
+    packed = F.aggregate(cut, start, add, flush)
     whole = F.when(T.strip(text) == "", F.array().cast("array<string>")).otherwise(F.array(T.strip(text)))
     return F.when(F.length(text) <= most, whole).otherwise(packed)
 
@@ -74,8 +77,11 @@ def sections(docs: DataFrame) -> DataFrame:
         return F.when(tiny, grown).otherwise(F.concat(a, F.array(s)))
 
     merged = F.aggregate(cleaned, empty, merge)
+    # _before: sections before with the same title, counted in the array, so that nothing is shuffled
     keep = [c for c in docs.columns if c not in ("raw_text", "plain_text")]
-    return docs.select(*keep, F.posexplode(merged).alias("section_no", "_s")).select(*keep, "section_no", F.col("_s.t").alias("section_title"), F.col("_s.b").alias("body"))
+    rows = docs.select(*keep, merged.alias("_m")).select(*keep, "_m")
+    before = F.filter("_m", lambda o, i: (o["t"] == F.col("_s.t")) & (i < F.col("section_no")))
+    return rows.select(*keep, "_m", F.posexplode("_m").alias("section_no", "_s")).select(*keep, "section_no", F.col("_s.t").alias("section_title"), F.col("_s.b").alias("body"), F.size(before).alias("_before"))
 
 
 def passages(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
@@ -87,10 +93,8 @@ def passages(docs: DataFrame, most: int = MAX_CHARS) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("raw_text", "plain_text")]
     path = F.when(F.col("section_title") == F.col("title"), F.col("title")).otherwise(F.concat_ws("/", "title", "section_title"))
     rows = sections(docs).withColumn("section_path", path)
-    again = F.row_number().over(W.partitionBy("doc_id", "section_path").orderBy("section_no"))
-    rows = rows.withColumn("_again", again)
-    rows = rows.select(*keep, "section_no", "section_title", "section_path", "_again", F.posexplode(split_long(F.col("body"), most)).alias("ordinal", "text"))
-    hashed = F.when(F.col("_again") == 1, F.col("section_path")).otherwise(F.concat_ws("#", "section_path", F.col("section_no").cast("string")))
+    rows = rows.select(*keep, "section_no", "section_title", "section_path", "_before", F.posexplode(split_long(F.col("body"), most)).alias("ordinal", "text"))
+    hashed = F.when(F.col("_before") == 0, F.col("section_path")).otherwise(F.concat_ws("#", "section_path", F.col("section_no").cast("string")))
     return rows.select(
         T.chunk_id(F.col("doc_id"), F.col("revision_id"), hashed, F.col("ordinal")).alias("chunk_id"), *keep, "section_title", "section_path", "section_no", "ordinal", "text",
         F.concat(F.col("title"), F.lit(" > "), F.col("section_title"), F.lit("\n"), F.col("text")).alias("embed_text"),

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quarry.operators import answer as A
 from quarry.operators import graph as G
@@ -37,6 +38,7 @@ class Recipe:
         return self.rerank_backend or ("lexical" if self.use_rerank else "none")
 
 
+# The shipped recipes.
 RECIPES = {
     r.id: r
     for r in (
@@ -63,7 +65,7 @@ class Corpus:
     """Chunks (id, doc_id, title, text, ordinal) and the indexes over them."""
 
     chunks: DataFrame
-    postings: DataFrame | None = None
+    keyword: R.KeywordIndex | None = None
     vectors: DataFrame | None = None
     entities: DataFrame | None = None
     edges: DataFrame | None = None
@@ -75,7 +77,7 @@ def search(corpus: Corpus, queries: DataFrame, recipe: Recipe, keep: DataFrame |
     an over-fetch of 4k, and vectors before ranking."""
     lists = []
     if recipe.use_bm25 and recipe.k_bm25:
-        lists.append(R.keyword_topk(corpus.postings, queries, recipe.k_bm25, keep))
+        lists.append(R.keyword_topk(corpus.keyword, queries, recipe.k_bm25, keep))
     if recipe.use_dense and recipe.k_dense:
         v = corpus.vectors if keep is None else corpus.vectors.join(keep.select("id"), "id", "left_semi")
         lists.append(R.vector_topk(v, queries, recipe.k_dense, exclude_self=False))
@@ -89,11 +91,23 @@ def search(corpus: Corpus, queries: DataFrame, recipe: Recipe, keep: DataFrame |
     base = ["query_id", "id", "score", "rank", "retriever"]
     hits = lists[0].filter(F.col("rank") <= recipe.k_fused).select(base) if len(lists) == 1 else R.fuse(lists, recipe.rrf_k, recipe.k_fused).select(base)
     if recipe.backend != "none":
-        rich = hits.join(corpus.chunks.select("id", "title", "text"), "id").join(F.broadcast(queries.select("query_id", F.col("text").alias("query_text"))), "query_id")
+        rich = hits.join(corpus.chunks.select("id", "title", "text"), "id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
         hits = (R.lexical_rerank(rich) if recipe.backend == "lexical" else R.model_rerank(rich, model)).select(base)
     return hits.filter(F.col("rank") <= recipe.k_final)
 
 
+def asked_one(corpus: Corpus, question: str, recipe: Recipe, history: list[str] | None = None, keep: DataFrame | None = None, vector: list[float] | None = None, model=None) -> dict:
+    """The answer to one question of a request, with its hits; earlier questions, the last
+    four, and filters are the request's. Without a known tag in an answer the first kept
+    hits are its citations."""
+    spark = corpus.chunks.sparkSession
+    recent = [h.strip()[:2000] for h in (history or [])[-4:] if h.strip()]
+    q = spark.createDataFrame([(0, question, recent, vector)], "query_id long, text string, history array<string>, v array<float>")
+    answer = ask(corpus, q, recipe, keep, model).first().asDict()
+    hits = search(corpus, q, recipe, keep, model).orderBy("rank").collect()  # k_final rows
+    return answer | {"history": recent, "hits": [r.asDict() for r in hits]}
+
+
 def ask(corpus: Corpus, queries: DataFrame, recipe: Recipe, keep: DataFrame | None = None, model=None) -> DataFrame:
     """(query_id, answer, citations, valid, refused) of a batch of questions: search,
     grade, once more with a widened question where the recipe refines, then an
@@ -109,7 +123,7 @@ def ask(corpus: Corpus, queries: DataFrame, recipe: Recipe, keep: DataFrame | No
         for r, q in parts:
             found = search(corpus, q, r, keep, model)
             hits = found if hits is None else hits.unionByName(found)
-        rich = hits.join(corpus.chunks.select("id", "title", "text"), "id").join(F.broadcast(text), "query_id")
+        rich = hits.join(corpus.chunks.select("id", "title", "text"), "id").join(text, "query_id")
         return R.graded(rich, recipe.relevance_threshold, recipe.min_kept).filter("kept")
 
     kept = graded(parts)
@@ -119,7 +133,9 @@ def ask(corpus: Corpus, queries: DataFrame, recipe: Recipe, keep: DataFrame | No
         again = queries.join(enough, "query_id", "left_anti").withColumn("text", A.refined(F.col("text"), none))
         kept = kept.join(enough, "query_id", "left_semi").unionByName(graded([(recipe, again)]))
         enough = kept.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= recipe.min_kept).select("query_id")
-    kept = kept.join(enough, "query_id", "left_semi")
+    # the answer takes the first of what was kept
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id"))
+    kept = kept.join(enough, "query_id", "left_semi").withColumn("rank", place)
     answers = A.cited(A.extractive(kept, queries), kept)
     done = enough.withColumn("ok", F.lit(True))
     return answers.join(done, "query_id", "left").select("query_id", "answer", "citations", "valid", F.coalesce(~F.col("ok"), F.lit(True)).alias("refused"))
