@@ -1,10 +1,12 @@
 """Exact inner-product top-k by ball trees (operator 9).
 
-Rows are dealt by hash into shards of about ``SHARD`` vectors, and a ball tree is built
-over each. A block of queries walks the shards one after another; for each query the
-nodes of a tree are opened by their upper bound of the inner product, centre times
-query plus radius times the query's norm, until the bound can't beat the query's
-current kth score, which is carried on from shard to shard.
+Rows are dealt by hash into shards of about ``SHARD`` vectors, and over each a ball tree
+is built once and stored with it. Blocks of queries go to the shards. For each query the
+nodes of a tree are opened by their upper bound of the inner product, centre times query
+plus radius times the query's norm, until the bound can't beat the query's kth score so
+far. That score is shared: each query first searches one shard, the kth score found there
+goes with it to a second lot of shards, and what these find to the rest, so that shards
+return only what can still be among the k.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from quarry.llm.common import written
+from quarry.llm.common import dropped, written
 
-SHARD, LEAF, BLOCK = 8192, 128, 128
+SHARD, LEAF, BLOCK = 8192, 128, 512
 
 
 def integer_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -66,100 +69,175 @@ def build_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tuple[
     return order, nodes, np.array(centres).reshape(len(nodes), x.shape[1]), np.array(radii)
 
 
+def _exact(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether all products of these integers, and their sums, are exact in doubles."""
+    most = lambda a: float(np.abs(a.astype(np.float64)).max(initial=0))
+    return most(x) * most(q) * max(1, x.shape[1]) < 2**52
+
+
 class Tree:
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order, self.nodes, self.centres, self.radii = build_tree(x)
-        self.ids, self.x = ids[order], x[order]
-        # sums of products of such integers are exact in doubles below 2**53
-        self.exact = self.x.astype(np.float64)
-
-    def search(self, ids: np.ndarray, queries: np.ndarray, best: list[list[tuple[int, int]]], k: int) -> None:
-        """Merge this shard's best (score, -vec_id) of each query into the heaps ``best``."""
+    """A shard: row numbers, ids and vectors in the tree's order, nodes, centres, radii."""
+
+    def __init__(self, rows, ids, x, nodes, centres, radii):
+        self.rows, self.ids, self.x, self.nodes, self.centres, self.radii = rows, ids, x, nodes, centres, radii
+
+    @staticmethod
+    def of(rows: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Tree:
+        order, nodes, centres, radii = build_tree(x)
+        return Tree(rows[order], ids[order], x[order], nodes, centres, radii)
+
+    def search(self, rows: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """The best (score, -vec_id) of each query in this shard, k at most, that reach its
+        ``least`` score; the query's own row is left out."""
+        out: list[list[tuple[int, int]]] = []
         if not self.nodes or not len(queries):
-            return
-        q = queries.astype(np.float64)
-        bounds = q @ self.centres.T + np.linalg.norm(q, axis=1)[:, None] * self.radii
+            return [[] for _ in queries]
+        exact = _exact(self.x, queries)
+        x, q = (self.x.astype(np.float64), queries.astype(np.float64)) if exact else (self.x.astype(object), queries.astype(object))
+        f = queries.astype(np.float64)
+        bounds = f @ self.centres.T + np.linalg.norm(f, axis=1)[:, None] * self.radii
         bounds += 1e-6 * (1 + np.abs(bounds))
-        for i, heap in enumerate(best):
-            bound, own, vector = bounds[i].tolist(), ids[i], q[i]
+        for i, own in enumerate(rows.tolist()):
+            bound, vector, floor, heap = bounds[i].tolist(), q[i], least[i], []
             open_ = [(-bound[0], 0)]
             while open_:
                 most, node = heapq.heappop(open_)
-                if len(heap) == k and -most < heap[0][0]:  # ties may still win by a smaller id
+                need = max(floor, heap[0][0]) if len(heap) == k else floor
+                if -most < need:  # ties may still win by a smaller id
                     break
                 a, b, left, right = self.nodes[node]
                 if left >= 0:
                     for child in (left, right):
-                        if len(heap) < k or bound[child] >= heap[0][0]:
+                        if bound[child] >= need:
                             heapq.heappush(open_, (-bound[child], child))
                     continue
-                scores = self.exact[a:b] @ vector
-                at = np.flatnonzero(scores >= heap[0][0]) if len(heap) == k else np.arange(b - a)
-                for s, v in zip(scores[at].tolist(), self.ids[a:b][at].tolist(), strict=True):
-                    if v == own:
+                scores = x[a:b] @ vector
+                at = np.flatnonzero(scores >= need)
+                for s, v, row in zip(scores[at].tolist(), self.ids[a:b][at].tolist(), self.rows[a:b][at].tolist(), strict=True):
+                    if row == own:
                         continue
                     if len(heap) < k:
                         heapq.heappush(heap, (int(s), -v))
                     elif (int(s), -v) > heap[0]:
                         heapq.heapreplace(heap, (int(s), -v))
+            out.append(heap)
+        return out
+
+
+def _small(x: np.ndarray) -> bytes:
+    """A matrix in the narrowest integers that hold it, and their kind before it."""
+    most = int(np.abs(x).max(initial=0)) if x.size else 0
+    kind = "<i1" if most < 1 << 7 else "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
+    return kind.encode() + x.astype(kind).tobytes()
+
+
+def _large(blob: bytes, width: int, n: int) -> np.ndarray:
+    return np.frombuffer(blob, blob[:3].decode(), offset=3).reshape(n, width).astype(np.int64)
+
+
+TREES = "shard int, n int, width int, rows binary, ids binary, x binary, nodes binary, centres binary, radii binary"
+ASKED = "block int, n int, width int, rows binary, ids binary, x binary"
+
+
+def _trees(rows: DataFrame) -> DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["vec_id", "row"], kind="stable")
+        t = Tree.of(pdf["row"].to_numpy("int64"), pdf["vec_id"].to_numpy("int64"), matrix(pdf["v"].tolist()))
+        parts = (t.rows.tobytes(), t.ids.tobytes(), _small(t.x), np.array(t.nodes, np.int64).tobytes(), t.centres.tobytes(), t.radii.tobytes())
+        return pd.DataFrame([(int(key[0]), len(t.ids), t.x.shape[1], *parts)], columns=[c.split()[0] for c in TREES.split(", ")])
+
+    return rows.groupBy("shard").applyInPandas(fold, TREES)
+
 
+def _tree(row) -> Tree:
+    nodes = [tuple(x) for x in np.frombuffer(row.nodes, np.int64).reshape(-1, 4).tolist()]
+    centres = np.frombuffer(row.centres, np.float64).reshape(len(nodes), row.width)
+    return Tree(np.frombuffer(row.rows, np.int64), np.frombuffer(row.ids, np.int64), _large(row.x, row.width, row.n), nodes, centres, np.frombuffer(row.radii, np.float64))
 
-def _blocks(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    """Rows of a key as one: ids and the integer matrix, in binary."""
 
-    def fold(got: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
+def _blocks(rows: DataFrame) -> DataFrame:
+    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row", kind="stable")
         x = matrix(pdf["v"].tolist())
-        return pd.DataFrame({name: [int(got[0])], "ids": [pdf["vec_id"].to_numpy("int64").tobytes()], "width": [x.shape[1]], "x": [x.tobytes()]})
+        return pd.DataFrame([(int(key[0]), len(pdf), x.shape[1], pdf["row"].to_numpy("int64").tobytes(), pdf["vec_id"].to_numpy("int64").tobytes(), _small(x))], columns=[c.split()[0] for c in ASKED.split(", ")])
 
-    return rows.withColumn(name, key).groupBy(name).applyInPandas(fold, f"{name} long, ids binary, width int, x binary")
+    return rows.groupBy("block").applyInPandas(fold, ASKED)
+
+
+FOUND = "block int, query_row long, query_id long, vec_id long, score long"
+
+
+def _walk(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """What blocks of queries (ASKED, least: their kth scores so far, shard) find in their shards."""
+
+    def fold(key: tuple, shard: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for held in shard.itertuples(index=False):
+            tree = _tree(held)
+            for row in blocks.itertuples(index=False):
+                rows, ids, q = np.frombuffer(row.rows, np.int64), np.frombuffer(row.ids, np.int64), _large(row.x, row.width, row.n)
+                least = np.full(row.n, -np.inf) if row.least is None else np.frombuffer(row.least, np.float64)
+                width = max(tree.x.shape[1], q.shape[1])
+                wide = lambda a: np.pad(a, ((0, 0), (0, width - a.shape[1])))
+                t = tree if tree.x.shape[1] == width else Tree(tree.rows, tree.ids, wide(tree.x), tree.nodes, wide(tree.centres), tree.radii)
+                for r, i, heap in zip(rows.tolist(), ids.tolist(), t.search(rows, wide(q), least, k), strict=True):
+                    out += [(row.block, r, i, -v, s) for s, v in heap]
+        return pd.DataFrame(out, columns=["block", "query_row", "query_id", "vec_id", "score"]).astype("int64")
+
+    return trees.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(fold, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _with_least(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Blocks with the kth score that each of their queries has reached; -inf without k."""
+
+    def fold(key: tuple, block: pd.DataFrame, kth: pd.DataFrame) -> pd.DataFrame:
+        if not len(block):
+            return pd.DataFrame(columns=[c.split()[0] for c in f"{ASKED}, least binary".split(", ")])
+        rows = np.frombuffer(block["rows"].iloc[0], np.int64)
+        held = dict(zip(kth["query_row"], kth["score"], strict=True))
+        # a double under the score, as integers beyond 2**53 aren't doubles
+        least = np.array([np.nextafter(float(held[r]), -np.inf) if r in held else -np.inf for r in rows.tolist()])
+        return block.assign(least=[least.tobytes()])
+
+    kth = found.filter(F.col("rank") == k).select("block", "query_row", "score")
+    return asked.groupBy("block").cogroup(kth.groupBy("block")).applyInPandas(fold, f"{ASKED}, least binary")
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query.
 
     vectors: (vec_id, v array of long), as of ``integer_vectors``; ``is_query`` picks
-    the queries. Every row but those with the query's own id is a candidate; equal
-    scores go to the smaller vec_id; with fewer than k candidates all are returned.
-    Vectors of unequal length are filled with 0. Repeated rows are candidates each and
-    a repeated query is answered for each row. Queries meet shards block by block, so
-    no single product of rows with rows is made. Scores are exact below 2**53."""
-    vectors, _ = written(vectors, "vectors")
+    the queries. Every row but the query's own is a candidate; equal scores go to the
+    smaller vec_id; with fewer than k candidates all are returned. Vectors of unequal
+    length are filled with 0. Rows that repeat a vec_id are candidates each, a repeated
+    query is answered for each row, and other rows of its id are candidates of it. Scores
+    are whole numbers of any size, exact as long as they fit a long. An empty table gives
+    an empty result; other columns are ignored. What moves grows with queries times
+    shards, a row of ``block`` queries each; no product of rows with rows is made."""
+    spark = vectors.sparkSession
+    vectors, at = written(vectors.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, m = vectors.count(), vectors.filter(is_query).count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
-    trees = _blocks(vectors, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)), "shard")
-    asked = _blocks(vectors.filter(is_query), F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)), "block").select("block", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("x").alias("q_x"))
-    trees, _ = written(trees, "shards")
-    asked, _ = written(asked, "blocks")
-    # every block goes to every shard: rows = blocks x shards, each a whole block
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(trees, "shard")
-    pairs = pairs.repartition(max(blocks, 1), "block").sortWithinPartitions("block", "shard")
-
-    def walk(pdfs):
-        now, ids, q, best, grown = None, None, None, [], {}
-
-        def answer():
-            rows = [(int(i), r + 1, -v, s) for i, heap in zip(ids, best, strict=True) for r, (s, v) in enumerate(sorted(heap, reverse=True))]
-            return pd.DataFrame(rows, columns=["query_id", "rank", "vec_id", "score"])
-
-        for pdf in pdfs:
-            for row in pdf.itertuples(index=False):
-                if row.block != now:
-                    if now is not None:
-                        yield answer()
-                    now, ids = row.block, np.frombuffer(row.q_ids, np.int64)
-                    q = np.frombuffer(row.q_x, np.int64).reshape(len(ids), row.q_width)
-                    best = [[] for _ in ids]
-                own = np.frombuffer(row.ids, np.int64)
-                x = np.frombuffer(row.x, np.int64).reshape(len(own), row.width)
-                width = max(row.width, row.q_width)
-                wide = lambda a: np.pad(a, ((0, 0), (0, width - a.shape[1])))
-                if (row.shard, width) not in grown:
-                    if len(grown) >= 8:
-                        grown.clear()
-                    grown[row.shard, width] = Tree(own, wide(x))
-                grown[row.shard, width].search(ids, wide(q), best, k)
-        if now is not None:
-            yield answer()
-
-    return pairs.mapInPandas(walk, "query_id long, rank int, vec_id long, score long")
+    trees, trees_at = written(_trees(vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))), "trees")
+    asked, asked_at = written(_blocks(vectors.filter(is_query).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))), "asked")
+    dropped(spark, at)
+    first = F.pmod("block", F.lit(shards))
+    found, found_at = None, []
+    # shards of each lot by their distance from the block's first; three lots at most
+    for low, high in dict.fromkeys([(0, 1), (1, min(shards, 1 + shards // 8)), (min(shards, 1 + shards // 8), shards)]):
+        if low >= high:
+            continue
+        now = asked.withColumn("least", F.lit(None).cast("binary")) if found is None else _with_least(asked, found, k)
+        sent = now.withColumn("shard", F.explode(F.sequence(F.lit(low), F.lit(high - 1)))).withColumn("shard", F.pmod(F.col("shard") + first, F.lit(shards)).cast("int"))
+        got = _walk(trees, sent, k)
+        if found is not None:
+            got = got.unionByName(found.drop("rank"))
+        found, path = written(_best(got, k), "found")
+        found_at.append(path)
+    dropped(spark, trees_at, asked_at, *found_at[:-1])
+    return found.select("query_id", "rank", "vec_id", "score")
