@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, dropped, written
+from quarry.llm.common import chunks, dropped, new_path
 from quarry.llm.tokens import END_ID, MAX_TOKENS, default_tokenizer, tokenizer_of
 
 #: Tokens that a task holds at once.
@@ -102,7 +102,7 @@ def segments(row, dtype: str) -> list[tuple]:
 
 def pack_blocks(docs: DataFrame, path: str | None = None, capacity: int = MAX_TOKENS, end_id: int = END_ID, shard_blocks: int = 1024) -> tuple[DataFrame, str]:
     """Write the packed id matrix of ``documents`` (doc_id, text) into the shared
-    folder; return it, read back, with its path.
+    folder; return it, read back, with its path, which holds these rows and no others.
 
     A row: sequence_id, n_tokens, the pieces placed in it in order (doc_ids, pieces,
     starts in the document, lengths), cu_seqlens (cumulative segment lengths from 0),
@@ -111,7 +111,7 @@ def pack_blocks(docs: DataFrame, path: str | None = None, capacity: int = MAX_TO
     32-bit). A document is its text's ids and ``end_id``; only longer ones than
     ``capacity`` are cut, and nothing is lost. Null and empty texts are the end id
     alone; null ids stay null; repeated rows are packed each; an empty table gives an
-    empty matrix; other columns are ignored."""
+    empty matrix; other columns are ignored, whatever their names."""
     path = path or default_tokenizer()
     spark, dtype = docs.sparkSession, id_type(path)
 
@@ -135,15 +135,22 @@ def pack_blocks(docs: DataFrame, path: str | None = None, capacity: int = MAX_TO
         pieces = [p for _, row in pdf.iterrows() for p in segments(row, dtype)]
         return _rows(pieces, capacity, (1 << 62) + (int(key[0]) << 24), dtype).to_pandas()
 
-    first, at = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(fill, BLOCKS), "blocks")
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(fill, BLOCKS)
+    top = new_path(spark, "blocks")
     loose = F.col("n_tokens") < int(capacity * (1 - SLACK))
-    n = first.filter(loose).count()
-    if n < 2:
-        return first, at
-    shards = -(-n // shard_blocks)
-    rest = first.filter(loose).withColumn("_shard", F.pmod(F.xxhash64("sequence_id"), F.lit(shards))).groupBy("_shard").applyInPandas(again, BLOCKS)
-    second, at2 = written(rest, "blocks-rest")
-    return first.filter(~loose).unionByName(second), at
+    made.withColumn("loose", loose).write.option("compression", "zstd").partitionBy("loose").parquet(top)
+    # underfull blocks lie apart, so that the whole ones never move again
+    whole, apart = f"{top}/loose=false", f"{top}/loose=true"
+    rest = spark.read.schema(f"{BLOCKS}, loose boolean").parquet(top).filter("loose").drop("loose")
+    n = rest.count()
+    if n:
+        shards = -(-n // shard_blocks)
+        again_made = rest.withColumn("_shard", F.pmod(F.xxhash64("sequence_id"), F.lit(shards))).groupBy("_shard").applyInPandas(again, BLOCKS)
+        again_made.write.mode("append").option("compression", "zstd").parquet(whole)
+        dropped(spark, apart)
+    elif spark.read.schema(BLOCKS).parquet(top).isEmpty():
+        made.limit(0).write.mode("overwrite").parquet(whole)
+    return spark.read.schema(BLOCKS).parquet(whole), whole
 
 
 def id_type(path: str) -> str:
