@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quarry.llm.common import chunks
 
@@ -107,15 +108,17 @@ def fit(texts: list[str], langs: list[str], k: int = CENTROIDS) -> Model:
 
 
 def sampled(labelled: DataFrame, most: int = MAX_SAMPLE) -> DataFrame:
-    """At most about ``most`` rows of ``labelled`` (doc_id, text, lang), as many of
-    each language as there are or an equal share, chosen by a hash of the id."""
-    there = {r["lang"]: r["n"] for r in labelled.filter("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
-    share = max(1, most // max(1, len(there)))
-    wanted = F.lit(False)
-    for lang, n in there.items():
-        part = min(1.0, share / n)
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1.0)))
-    return labelled.filter(wanted).limit(most)
+    """At most ``most`` rows of ``labelled`` (doc_id, text, lang): of each language the
+    first by a hash of id and text, an equal share each, so that no order of rows or
+    partitions matters. Of more than ``most`` languages the most frequent are learned."""
+    kept = labelled.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
+    there = kept.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    share = max(1, most // max(1, there.count()))
+    # a part of the rows by hash, twice the share on average, before they are ordered
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    some = kept.join(F.broadcast(there), "lang").withColumn("key", key).filter(F.col("key") <= (1 << 40) * F.least(F.lit(1.0), (2 * share + 64) / F.col("n")))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("key", "doc_id", "text"))
+    return some.withColumn("place", place).filter(F.col("place") <= share).select("doc_id", "text", "lang")
 
 
 def trained(labelled: DataFrame, most: int = MAX_SAMPLE) -> Model:

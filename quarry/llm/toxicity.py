@@ -1,16 +1,17 @@
 """Toxicity by a bidirectional gated recurrent network (operator 8).
 
-A word's input is its characters, read in both directions by a small recurrent net, a
-learned word vector, and how much more often the word and its character 5-grams stand
-in toxic training texts. A second bidirectional net reads windows of words, attention
-pools its states, and a logistic unit scores the window. Windows overlap and
-cover the whole text; a text scores as its worst window. Training is in numpy, on a
-bounded sample of labelled rows; as labels are of whole texts, each round picks the
-windows that the current net finds worst.
+A word's input is its characters, read in both directions by a small recurrent net, and a
+learned word vector; words in few training texts share one vector, so that they are told
+by their characters alone. A second bidirectional net reads windows of words, attention
+pools its states, and a logistic unit scores the window. Windows overlap and cover the
+whole text; a text scores as its worst window. Training is in numpy, on a bounded sample
+of labelled rows; as labels are of whole texts, the first rounds take windows at random,
+the later ones those that the current net finds worst.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,13 +23,14 @@ from quarry.llm.common import chunks
 
 WINDOW, STRIDE = 32, 24
 PIECE = 32  # longer words are read in pieces of so many bytes
-HC, HW, HA, DC, DW = 6, 8, 8, 6, 4
-WORD_BUCKETS, GRAM_BUCKETS, GRAM = 1 << 14, 1 << 18, 5
+HC, HW, HA, DC, DW = 8, 10, 8, 8, 16
+#: Word vectors at most, of words in so many training texts at least; the rest share the first.
+MAX_WORDS, MIN_TEXTS = 8192, 4
 #: Labelled rows that are fitted on at most, of either label.
 MAX_TOXIC, MAX_CLEAN = 800, 1200
-ROUNDS, RATE, BATCH = 6, 0.02, 128
+ROUNDS, RANDOM_ROUNDS, RATE, BATCH = 7, 2, 0.015, 128
 #: Steps at least, so that few rows are gone over more often.
-STEPS = 220
+STEPS = 260
 THRESHOLD = 0.7
 #: Words whose inputs a worker remembers.
 REMEMBERED_WORDS = 250_000
@@ -51,27 +53,6 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(raw), np.array([len(w) for w in words])
 
 
-def _mixed(x: np.ndarray, n: int) -> np.ndarray:
-    return (((x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - (n - 1).bit_length())).astype(np.int64)
-
-
-def hashes(raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word a hash, the buckets of its 5-grams, an edge mark at either end
-    included, and which of these are real. Words of under three letters have one."""
-    x = np.zeros((raw.shape[0] + 2, raw.shape[1]), np.uint32)
-    x[1:-1] = raw
-    x[0], x[lengths + 1, np.arange(raw.shape[1])] = 1, 2
-    word = np.zeros(raw.shape[1], np.uint32)
-    for row in x:
-        word = word * np.uint32(0x01000193) + row
-    places = max(1, len(x) - GRAM + 1)
-    grams = np.zeros((places, raw.shape[1]), np.uint32)
-    for k in range(min(GRAM, len(x))):
-        grams = grams * np.uint32(0x01000193) + x[k : k + places]
-    real = np.arange(places)[:, None] < np.maximum(1, lengths + 3 - GRAM)
-    return word, _mixed(grams, GRAM_BUCKETS), real
-
-
 def sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -126,39 +107,36 @@ def gru_back(d_out: np.ndarray, cache: list, mask: np.ndarray, u: np.ndarray):
 @dataclass
 class Net:
     p: dict[str, np.ndarray]
-    word_odds: np.ndarray  # by bucket
-    gram_odds: np.ndarray
+    vocabulary: dict[bytes, int]
     known: dict[bytes, int] = field(default_factory=dict)
     inputs: np.ndarray | None = None
 
     @staticmethod
-    def fresh(word_odds, gram_odds, seed: int = 7) -> Net:
+    def fresh(vocabulary: list[bytes], seed: int = 7) -> Net:
         rng = np.random.default_rng(seed)
         g = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        x = 2 * HC + DW + 3
-        p = {"chars": g(256, DC), "words": np.zeros((WORD_BUCKETS, DW), np.float32)}
+        x = 2 * HC + DW
+        p = {"chars": g(256, DC), "words": (rng.standard_normal((len(vocabulary) + 1, DW)) / 8).astype(np.float32)}
+        p["words"][0] = 0
         for side in "fb":
             p |= {f"c_w{side}": g(DC, 3 * HC), f"c_u{side}": g(HC, 3 * HC), f"c_b{side}": np.zeros(3 * HC, np.float32)}
             p |= {f"w_w{side}": g(x, 3 * HW), f"w_u{side}": g(HW, 3 * HW), f"w_b{side}": np.zeros(3 * HW, np.float32)}
         p |= {"a_w": g(2 * HW, HA), "a_v": g(HA), "o_w": g(2 * HW), "o_b": np.full(1, -2, np.float32)}
-        return Net(p, word_odds, gram_odds)
+        return Net(p, {w: k + 1 for k, w in enumerate(vocabulary)})
 
     def fixed(self, words: list[bytes]):
-        """Of each word: its bytes, padded, their mask, its bucket and its odds."""
+        """Of each word: its bytes, padded, their mask, and the place of its vector."""
         raw, lengths = padded(words)
-        word, grams, real = hashes(raw, lengths)
-        of = self.gram_odds[grams]
-        odds = np.stack([self.word_odds[_mixed(word, GRAM_BUCKETS)], np.where(real, of, -9).max(axis=0), (of * real).sum(axis=0) / real.sum(axis=0)], axis=1)
-        return raw, np.arange(len(raw))[:, None] < lengths, _mixed(word, WORD_BUCKETS), odds.astype(np.float32)
+        return raw, np.arange(len(raw))[:, None] < lengths, np.array([self.vocabulary.get(w, 0) for w in words])
 
-    def word_vectors(self, raw, mask, bucket, odds, keep: bool = False):
+    def word_vectors(self, raw, mask, place, keep: bool = False):
         p, caches, ends = self.p, {}, []
         e = p["chars"][raw]
         for side, turn in (("f", slice(None)), ("b", slice(None, None, -1))):
             gx = e[turn] @ p[f"c_w{side}"] + p[f"c_b{side}"]
             hs, caches[side] = gru(gx, mask[turn], p[f"c_u{side}"], keep)
             ends.append(hs[-1])
-        return np.concatenate([*ends, p["words"][bucket], odds], axis=1), (e, caches)
+        return np.concatenate([*ends, p["words"][place]], axis=1), (e, caches)
 
     def rows_of(self, words: list[bytes]) -> np.ndarray:
         """Places of the words' projected inputs in ``inputs``; place 0 is empty."""
@@ -222,14 +200,10 @@ def windows_of(row: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
 
 
-def _odds(owner: np.ndarray, buckets: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """By bucket, log of how much more often it stands in toxic texts, drawn to 0 where rare."""
-    pairs = np.unique(owner * GRAM_BUCKETS + buckets)
-    of, bucket = toxic[pairs // GRAM_BUCKETS], pairs % GRAM_BUCKETS
-    t = np.bincount(bucket[of], minlength=GRAM_BUCKETS) / max(1, toxic.sum())
-    c = np.bincount(bucket[~of], minlength=GRAM_BUCKETS) / max(1, (~toxic).sum())
-    weak = 0.004
-    return np.clip(np.log((t + weak) / (c + weak)), -3, 3).astype(np.float32)
+def frequent_words(split: list[list[bytes]]) -> list[bytes]:
+    """Words of MIN_TEXTS texts or more, MAX_WORDS at most, the most frequent first."""
+    texts = Counter(w for s in split for w in set(s))
+    return sorted((w for w, n in texts.items() if n >= MIN_TEXTS), key=lambda w: (-texts[w], w))[:MAX_WORDS]
 
 
 def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, seed: int = 7) -> Net:
@@ -238,37 +212,33 @@ def train(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, seed
     keep = [k for k, s in enumerate(split) if s]
     split, y = [split[k] for k in keep], np.array([labels[k] for k in keep], dtype=int) == 1
     if not y.any() or y.all():
-        empty = Net.fresh(np.zeros(GRAM_BUCKETS, np.float32), np.zeros(GRAM_BUCKETS, np.float32), seed)
+        empty = Net.fresh([], seed)
         empty.p["o_w"][:] = 0
         return empty
-    vocabulary = {w: k + 1 for k, w in enumerate(sorted(set().union(*split)))}
-    names = list(vocabulary)
-    word, grams, real = hashes(*padded(names))
-    rows = [np.array([vocabulary[w] - 1 for w in set(s)]) for s in split]
-    owns, held = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    keep = real[:, held].T
-    net = Net.fresh(_odds(owns, _mixed(word, GRAM_BUCKETS)[held], y), _odds(np.repeat(owns, keep.sum(axis=1)), grams[:, held].T[keep], y), seed)
-    place = [windows_of(np.array([vocabulary[w] for w in s])) for s in split]
+    net = Net.fresh(frequent_words(split), seed)
+    names = sorted(set().union(*split))
+    known = {w: k + 1 for k, w in enumerate(names)}
+    place = [windows_of(np.array([known[w] for w in s])) for s in split]
     every, owner = np.concatenate(place), np.repeat(np.arange(len(place)), [len(x) for x in place])
-    fixed = [net.fixed(names[a : a + 8192]) for a in range(0, len(names), 8192)]
-    odds = np.concatenate([np.zeros((1, 3), np.float32), *[f[3] for f in fixed]])
-    rank = odds[every][..., :2].sum(axis=2).max(axis=1)  # of windows, before there is a net
     rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
     rounds = max(rounds, -(-STEPS // (-(-3 * len(y) // BATCH))))
     for lap in range(rounds):
-        if lap:
+        if lap < RANDOM_ROUNDS:
+            use = np.concatenate([rng.integers(0, len(every), 3 * len(y)), np.flatnonzero(y[owner])])
+        else:
             rank = _all_logits(net, names, every)
-        order = np.lexsort((rank, owner))
-        last = np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True))
-        worst = order[last]  # the worst window of each text
-        second = order[np.maximum(last - 1, 0)]
-        second = second[(owner[second] == np.arange(len(y))) & ~y]
-        some = rng.integers(0, len(every), len(y))
-        some = some[~y[owner[some]]]
-        use = rng.permutation(np.concatenate([worst, second, some]))
+            order = np.lexsort((rank, owner))
+            last = np.flatnonzero(np.append(owner[order][1:] != owner[order][:-1], True))
+            worst = order[last]  # the worst window of each text
+            second = order[np.maximum(last - 1, 0)]
+            second = second[(owner[second] == np.arange(len(y))) & ~y]
+            some = rng.integers(0, len(every), len(y))
+            use = np.concatenate([worst, second, some[~y[owner[some]]]])
+        use = rng.permutation(use)
         for s in range(0, len(use), BATCH):
             step += 1
-            _learn(net, names, every[use[s : s + BATCH]], y[owner[use[s : s + BATCH]]], m, v, step, RATE * (1 - lap / rounds))
+            at = use[s : s + BATCH]
+            _learn(net, names, every[at], y[owner[at]], m, v, step, RATE * (1 - lap / rounds))
     net.known, net.inputs = {}, None
     return net
 
@@ -284,8 +254,8 @@ def _learn(net: Net, names: list[bytes], at: np.ndarray, y: np.ndarray, m: dict,
     ids, inverse = np.unique(at, return_inverse=True)
     inverse = inverse.reshape(at.shape).T
     words = [names[k - 1] if k else b"" for k in ids]
-    raw, cmask, bucket, odds = net.fixed([w or b"\0" for w in words])
-    x, (e, caches) = net.word_vectors(raw, cmask, bucket, odds, keep=True)
+    raw, cmask, place = net.fixed([w or b"\0" for w in words])
+    x, (e, caches) = net.word_vectors(raw, cmask, place, keep=True)
     mask = at.T > 0
     gx = np.concatenate([x @ p["w_wf"] + p["w_bf"], x @ p["w_wb"] + p["w_bb"]], axis=1)
     h, (cf, cb) = net.states(gx[inverse], mask, keep=True)
@@ -308,7 +278,8 @@ def _learn(net: Net, names: list[bytes], at: np.ndarray, y: np.ndarray, m: dict,
         g[f"w_w{side}"], g[f"w_b{side}"] = x.T @ total, total.sum(axis=0)
         dx += total @ p[f"w_w{side}"].T
     g["words"] = np.zeros_like(p["words"])
-    np.add.at(g["words"], bucket, dx[:, 2 * HC : 2 * HC + DW])
+    np.add.at(g["words"], place, dx[:, 2 * HC :])
+    g["words"][0] = 0
     g["chars"] = np.zeros_like(p["chars"])
     for n, (side, turn) in enumerate((("f", slice(None)), ("b", slice(None, None, -1)))):
         d_out = np.zeros((*raw.shape, HC), np.float32)
@@ -324,16 +295,18 @@ def _learn(net: Net, names: list[bytes], at: np.ndarray, y: np.ndarray, m: dict,
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (MAX_TOXIC, MAX_CLEAN)) -> Net:
-    """Fit on at most so many toxic and clean rows of labels (doc_id, toxic), chosen by
-    a hash of the id, with their texts. The sample is bounded, so it is broadcast."""
-    labels = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)")
-    n = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = None
+    """Fit on at most so many toxic and clean texts of labels (doc_id, toxic), those first
+    by a hash of id and text. Repeated ids count as rows each, so the bound holds for
+    texts; labels other than 0 and 1 and null ids teach nothing."""
+    labels = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").distinct()
+    order = F.xxhash64("doc_id", "text")
+    parts = []
     for toxic, limit in ((1, most[0]), (0, most[1])):
-        part = min(1.0, limit / max(1, n.get(toxic, 0)))
-        some = labels.filter((F.col("toxic") == toxic) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= int(part * (1 << 20)))).limit(limit)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
+        some = labels.filter(F.col("toxic") == toxic)
+        # ids first, so that texts of chosen ones alone are read; then the bound on texts
+        ids = some.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        parts.append(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id").limit(limit).withColumn("toxic", F.lit(toxic)))
+    rows = parts[0].unionByName(parts[1]).collect()  # most[0] + most[1] texts
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"] or ""))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
