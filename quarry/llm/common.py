@@ -58,6 +58,14 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme that Spark would take it for, as a URI with an authority part."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    scheme, _, rest = uri.partition(":")
+    return uri if rest.startswith("//") else f"{scheme}://{rest}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
