@@ -3,9 +3,10 @@
 A passage is a run of two or more lines that hold words, or one line of
 ``LONG_LINE_WORDS`` words. A longer run repeats an earlier one exactly where each two
 successive lines of it, blank ones between them included, repeat two there, so all runs
-of any length and place are found by hashes of such pairs and of long lines. Runs in
-one and the same earlier place are joined, compared with its lines byte by byte, grown
-over the blank lines beside both, and removed from all places but the first.
+of any length and place are found by hashes of such pairs and of long lines: every place
+in a text begins a chunk, where boundaries chosen by content would miss short passages.
+Runs in one and the same earlier place are joined, compared with its lines byte by byte,
+grown over the blank lines beside both, and removed from all places but the first.
 """
 
 from __future__ import annotations
@@ -15,36 +16,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from quarry.llm.common import chunks, dropped, free_shuffles, written
+from quarry.llm.common import chunks, dropped, free_shuffles, keyed_join, written
 
-ROLL, DIVISOR = 1, 2
 #: One line counts as a passage from so many words on.
 LONG_LINE_WORDS = 50
+#: Runs that meet one copy of the text of their first place, about.
+COPIES = 2000
 
-_MASK = (1 << 64) - 1
 SEEDS = "doc_id long, whole long, first int, n int, seed binary"
 RUNS = "doc_id long, whole long, first int, n int, doc_0 long, whole_0 long, first_0 int"
-FOUND = "doc_id long, whole long, first int, lead int, n int, body string"
-
-
-def boundaries(hashes: list[int], roll: int = ROLL, divisor: int = DIVISOR) -> list[int]:
-    """Ends of the chunks: after each line at which the rolling hash of the last
-    ``roll`` line hashes is 0 modulo ``divisor``, and at the end."""
-    if not hashes:
-        return []
-    base = 0x9E3779B97F4A7C15
-    drop, value, ends = pow(base, roll, 1 << 64), 0, []
-    for k, h in enumerate(hashes):
-        value = (value * base + h) & _MASK
-        if k >= roll:
-            value = (value - hashes[k - roll] * drop) & _MASK
-        if k + 1 >= roll and ((value ^ value >> 32) * 0x94D049BB133111EB & _MASK) >> 40 & 0xFFFF < 65536 // divisor:
-            ends.append(k + 1)
-    if not ends or ends[-1] != len(hashes):
-        ends.append(len(hashes))
-    return ends
+#: own: where the first place begins, if it is in the same document; else -1
+FOUND = "doc_id long, whole long, first int, lead int, n int, own int, body string"
 
 
 def seeds(text: str) -> list[tuple[int, int, bytes]]:
@@ -107,7 +90,7 @@ def _with_bodies(rows: DataFrame) -> DataFrame:
         seen, text, lines = None, None, []
         for batch in chunks(batches, 500):
             out = []
-            for doc, whole, first, n, first_0, other in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for doc, whole, first, n, first_0, same, other in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if seen == (doc, whole, first, n, first_0):
                     continue  # a repeated row of the first place
                 seen = (doc, whole, first, n, first_0)
@@ -118,14 +101,19 @@ def _with_bodies(rows: DataFrame) -> DataFrame:
                     a -= 1
                 while b < len(lines) and not lines[b].split():
                     b += 1
-                out.append((doc, whole, first, first_0 - a, n, "\n".join(lines[a:b])))
+                out.append((doc, whole, first, first_0 - a, n, first_0 if same else -1, "\n".join(lines[a:b])))
             yield _batch(out, FOUND)
 
     return rows.mapInArrow(each, FOUND)
 
 
+def _place(doc_id: str, whole: str):
+    """One key of a document, for null ids too."""
+    return F.concat_ws("|", F.col(whole).cast("string"), F.col(doc_id).cast("string"))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, whole, first, lead, n, body: runs of n lines of a document that stand
+    """doc_id, whole, first, lead, n, own, body: runs of n lines of a document that stand
     earlier too, and what stands there, with lead and further blank lines around it.
 
     The first occurrence, by doc_id (null last) and place, stays; one that overlaps it
@@ -133,18 +121,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", _whole("text").alias("whole"), "text")
-    order = W.partitionBy("seed").orderBy(F.col("doc_id").isNull(), "doc_id", "whole", "first")
-    spread = _seeded(docs).select("*", *(F.first(c).over(order).alias(f"{c}_0") for c in ("doc_id", "whole", "first")))
+    seeds_, seeds_at = written(_seeded(docs), "seeds")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "whole", "first")
+    firsts, firsts_at = written(seeds_.groupBy("seed").agg(F.min(place).alias("f"), F.count("*").alias("rows")).filter("rows > 1").select("seed", "rows", F.col("f.doc_id").alias("doc_id_0"), F.col("f.whole").alias("whole_0"), F.col("f.first").alias("first_0")), "firsts")
+    spread = keyed_join(seeds_, firsts, "seed", "rows", seeds_.count())
     here = F.col("doc_id").eqNullSafe(F.col("doc_id_0")) & (F.col("whole") == F.col("whole_0"))
     later = spread.filter(~here | (F.col("first") >= F.col("first_0") + F.col("n")))
     parts = later.groupBy("doc_id", "whole", F.col("doc_id_0").alias("doc_0"), "whole_0", (F.col("first_0") - F.col("first")).alias("shift")).agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    runs, runs_at = written(_joined(parts), "runs")
+    runs, runs_at = written(_joined(parts).withColumn("at", _place("doc_0", "whole_0")), "runs")
+    dropped(spark, seeds_at, firsts_at)
     free_shuffles(spark)
-    first = docs.select(F.col("doc_id").alias("_d"), F.col("whole").alias("_w"), "text")
-    # the same join at every size: what repeats has no bound
-    placed = runs.hint("merge").join(first, F.col("doc_0").eqNullSafe(F.col("_d")) & (F.col("whole_0") == F.col("_w")))
-    out, _ = written(_with_bodies(placed.select("doc_id", "whole", "first", "n", "first_0", "text")), "repeats")
-    dropped(spark, runs_at)
+    # a first place that very many runs repeat is given to several tasks
+    asked, asked_at = written(runs.groupBy("at").agg(F.count("*").alias("rows")), "places")
+    copies = F.floor(F.col("rows") / COPIES).cast("int")
+    first = docs.select(_place("doc_id", "whole").alias("at"), "text").join(asked.hint("merge"), "at").select("at", "text", F.explode(F.sequence(F.lit(0), copies)).alias("copy"))
+    dealt = keyed_join(runs, asked, "at", "rows", runs.count()).withColumn("copy", F.pmod(F.hash("doc_id", "whole", "first"), copies + 1))
+    placed = dealt.hint("merge").join(first, ["at", "copy"])
+    same = F.col("doc_id").eqNullSafe(F.col("doc_0")) & (F.col("whole") == F.col("whole_0"))
+    out, _ = written(_with_bodies(placed.select("doc_id", "whole", "first", "n", "first_0", same.alias("same"), "text")), "repeats")
+    dropped(spark, runs_at, asked_at)
     free_shuffles(spark)
     return out
 
@@ -163,17 +158,35 @@ def repeated(lines: list[str], first: int, lead: int, n: int, body: str) -> rang
     return range(a, b)
 
 
+def removed(lines: list[str], runs: list[dict]) -> set[int]:
+    """Lines that the runs of a document take away. Where first places are in the same
+    document, their lines stay."""
+    drop: set[int] = set()
+    kept: set[int] = set()
+    for x in runs:
+        drop.update(repeated(lines, x["first"], x["lead"], x["n"], x["body"]))
+        if x["own"] >= 0:
+            kept.update(range(x["own"], x["own"] + x["n"]))
+    return drop - kept
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of text, and lines_removed.
 
     Null texts stay null, texts without a repeat stay as they are, and a text all of
-    whose lines repeat earlier ones becomes empty. n_chars, where given, is counted
-    anew. A given column lines_removed is replaced; an empty table gives an empty one."""
+    whose lines repeat earlier ones becomes empty. A run never takes lines of a first
+    place in the same document: of lines B A B A B the first three stay. Texts of any
+    length are gone through whole. n_chars, where given, is counted anew. Other columns
+    stay, whatever their names; a given column lines_removed is replaced; an empty table
+    gives an empty one."""
     docs = docs.drop("lines_removed")
-    gone = repeated_lines(docs).groupBy("doc_id", "whole").agg(F.collect_list(F.struct("first", "lead", "n", "body")).alias("_runs"))
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("whole").alias("_whole"), "_runs")
+    columns = docs.columns
+    runs = F.collect_list(F.struct("first", "lead", "n", "own", "body"))
+    gone = repeated_lines(docs).groupBy("doc_id", "whole").agg(runs.alias("runs")).select(_place("doc_id", "whole").alias("at"), "runs")
+    # rows travel as one column, so no name of theirs clashes
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _whole("text").alias("whole"))
     # the same join at every size: what is to be cut has no bound
-    keyed = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (_whole("text") == F.col("_whole")), "left").drop("_doc", "_whole")
+    keyed = rows.select("row", _place("doc_id", "whole").alias("at")).join(gone.hint("merge"), "at", "left")
 
     @F.pandas_udf("text string, n int")
     def cut(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -182,15 +195,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             if t is None or r is None:
                 out.append((t, 0))
                 continue
-            lines, drop = t.split("\n"), set()
-            for x in r:
-                drop.update(repeated(lines, x["first"], x["lead"], x["n"], x["body"]))
+            lines = t.split("\n")
+            drop = removed(lines, r)
             out.append(("\n".join([s for k, s in enumerate(lines) if k not in drop]), len(drop)))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    some, columns = F.col("_runs").isNotNull(), docs.columns
-    out = keyed.withColumn("_cut", cut(F.when(some, F.col("text").cast("string")), "_runs"))  # other texts stay where they are
-    out = out.withColumn("text", F.when(some, F.col("_cut.text")).otherwise(F.col("text"))).withColumn("lines_removed", F.col("_cut.n"))
+    some = F.col("runs").isNotNull()
+    out = keyed.withColumn("cut", cut(F.when(some, F.col("row")["text"].cast("string")), "runs"))  # other texts stay where they are
+    text = F.when(some, F.col("cut")["text"]).otherwise(F.col("row")["text"])
+    new = {"text": text}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(some, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns, "lines_removed")
+        new["n_chars"] = F.when(some, F.length(text)).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in columns), F.col("cut")["n"].alias("lines_removed"))
