@@ -246,7 +246,7 @@ class Cells:
         left, right = of(left), of(right)
         ends = lambda name: (F.min("component").alias(f"a_{name}"), F.max("component").alias(f"b_{name}"))
         sizes = self._blocks(left, "n_left", *ends("l")).join(self._blocks(right, "n_right", *ends("r")), "group")
-        sizes = sizes.filter("a_l <> b_l or a_r <> b_r or a_l <> a_r").drop("a_l", "b_l", "a_r", "b_r")
+        sizes, _ = written(sizes.filter("a_l <> b_l or a_r <> b_r or a_l <> a_r").drop("a_l", "b_l", "a_r", "b_r"), "sizes")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         block = lambda n: F.pmod(F.hash("doc_id"), F.col(n))
         dealt = lambda side, name: keyed_join(side, sizes, "group", f"{name}_rows", side.count())

@@ -589,3 +589,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(range(30)) <= kept and 40 in kept and not kept & {50, 60, 61}
     check_packing(out, 4096)
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """Nulls, empty, long and repeated rows, ties, clashing names and empty tables in each stage."""
+    import corpus_pipeline as P
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "zu zv zw zx zy"), (2, None), (3, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    prose = "one two three four five six seven"
+    rows = [*AWKWARD, (20, prose), (21, prose), (21, prose), (None, prose), (30, "a zu zv zw zx zy b"), (None, "zu zv zw zx zy"), (31, "long " * 30_000), (32, prose + "\n" + prose)]
+    df = docs_of(spark, rows)
+    for name in ("row", "at", "runs", "whole", "lang_pred", "lang_score", "lang_rejected", "rep", "kept", "component_id", "u", "v", "loose", "piece"):
+        df = df.withColumn(name, F.lit(name))
+    texts = lambda df: sorted((repr(r["doc_id"]), repr(r["text"])[:60]) for r in df.collect())
+    stages = dict(P.STAGES)
+    for name in ("language_id", "line_dedup", "near_dedup", "decontamination"):
+        got = stages[name](spark, df, str(tmp_path))
+        assert got.columns == df.columns and got.schema["n_chars"].dataType == df.schema["n_chars"].dataType, name
+        if got.count():
+            assert got.filter("row <> 'row' or lang_pred <> 'lang_pred' or runs <> 'runs'").count() == 0
+        assert stages[name](spark, df.limit(0), str(tmp_path)).count() == 0, name
+    assert ("None", repr(prose)) in texts(stages["language_id"](spark, df, str(tmp_path))) and not {r["text"] for r in stages["language_id"](spark, df, str(tmp_path)).collect()} & {None, "", " \n\t "}
+    assert stages["language_id"](spark, df.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == len(rows)
+    assert stages["line_dedup"](spark, df, str(tmp_path)).count() == len(rows)
+    near = stages["near_dedup"](spark, df, str(tmp_path))
+    assert {r["doc_id"] for r in near.filter(F.col("text") == prose).collect()} == {20, None}
+    clean = texts(stages["decontamination"](spark, df, str(tmp_path)))
+    assert len(clean) == len(rows) - 2 and not [x for x in clean if "zu zv" in x[1]]
+    packed = stages["packing"](spark, df, str(tmp_path)).collect()
+    check_packing(packed, 4096)
+    assert len({r["doc_id"] for r in packed}) == len({i for i, _ in rows}) and stages["packing"](spark, df.limit(0), str(tmp_path)).count() == 0
