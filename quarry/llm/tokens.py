@@ -16,7 +16,7 @@ from quarry.llm.common import chunks, only_memory
 MAX_TOKENS = 4096
 END_ID = 1
 #: Bytes of words and ids that a Python worker remembers, twice, and what an entry takes besides.
-REMEMBERED_BYTES, ENTRY_BYTES = 90_000_000, 190
+REMEMBERED_BYTES, ENTRY_BYTES = 130_000_000, 190
 #: Python splits at these four, the tokenizer's \s doesn't.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Letters whose lower case depends on what stands beside them or is two letters.
