@@ -99,7 +99,7 @@ def crc_mod(column: str, n: int) -> Column:
 _forget: dict = {}
 
 
-def only_memory(owner: str, forget) -> None:
+def only_memory(owner: str, forget=lambda: None) -> None:
     """Say in a Python worker that ``owner`` works now: what other operators remember in
     this worker, which Spark uses again for later stages, is forgotten by calling their
     ``forget``, and the freed memory goes back to the system."""

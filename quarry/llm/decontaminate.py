@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks
+from quarry.llm.common import chunks, only_memory
 
 #: Edits allowed for each word of an item: similarity 0.8 or more.
 EDITS = 0.2
@@ -235,6 +235,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = spark.sparkContext.broadcast(Items.of(lot))  # bounded by PASS_CHARS
 
         def each(batches, held=held):
+            only_memory("passages")
             items = held.value
             ids_of = _Ids(items.vocabulary).of
             for batch in chunks(batches, 4000):

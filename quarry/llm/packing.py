@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import dropped, written
-from quarry.llm.tokens import MAX_TOKENS, tokenize
+from quarry.llm.common import dropped, only_memory, written
+from quarry.llm.tokens import MAX_TOKENS, REMEMBERED_BYTES, tokenize
 
 SHARD = 4096
 #: The emptiest bins, which a round of the search takes from.
@@ -114,6 +114,7 @@ def _packed(pieces: DataFrame, shards: int, capacity: int, first_id: int) -> Dat
     names = [f.name for f in pieces.schema]
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        only_memory("packing")
         pdf = pdf.reset_index(drop=True)
         lengths = pdf["length"].tolist()
         sequence, offset, free = [0] * len(pdf), [0] * len(pdf), [0] * len(pdf)
@@ -152,14 +153,14 @@ def pack(pieces: DataFrame, capacity: int = MAX_TOKENS, shard: int = SHARD) -> D
     return out
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, with_ids: bool = False, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """Tokenise and pack ``documents`` (doc_id, text).
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset; with
     ``with_ids`` also the ids (binary, little-endian unsigned 32-bit), which then
-    travel through the packing's shuffles. Null and empty texts are the end id alone;
+    travel through the packing's shuffles; ``remembered`` is tokenize's. Null and empty texts are the end id alone;
     clashing extra columns don't matter, as only doc_id and text are read."""
-    pieces = tokenize(docs, path, max_tokens).withColumn("ids_crc32", F.crc32("ids"))
+    pieces = tokenize(docs, path, max_tokens, remembered=remembered).withColumn("ids_crc32", F.crc32("ids"))
     table, at = written(pieces if with_ids else pieces.drop("ids"), "pieces")
     out = pack(table, max_tokens)
     out = out.select(*[c for c in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset") if c in out.columns], *(["ids"] if with_ids else []))

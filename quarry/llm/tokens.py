@@ -45,6 +45,7 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         self.tokenizer, self.old, self.letters, self.size = tokenizer, {}, _byte_letters(), 0
+        self.limit = REMEMBERED_BYTES
         self.merge = tokenizer.model.tokenize
 
     def raw(self, text: str) -> bytes:
@@ -70,7 +71,7 @@ class _Words(dict):
         return found
 
     def trim(self) -> None:
-        if self.size > REMEMBERED_BYTES:
+        if self.size > self.limit:
             self.old = {}
             self.old = dict(self)
             self.clear()
@@ -103,21 +104,23 @@ class WordTokenizer:
 _held: dict[str, WordTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> WordTokenizer:
-    """One tokenizer per worker and file."""
+def tokenizer_of(path: str, remembered: int = REMEMBERED_BYTES) -> WordTokenizer:
+    """One tokenizer per worker and file, which remembers twice so many bytes of words."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if path not in _held:
         _held[path] = WordTokenizer(path)
+    _held[path].known.limit = remembered
     only_memory(f"tokens {path}", _held[path].known.forget)
     return _held[path]
 
 
-def tokenize(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, remembered: int = REMEMBERED_BYTES) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids) of all documents.
 
     ids: the text's ids, then ``end_id``, as little-endian unsigned 32-bit integers.
     Only documents of more than ``max_tokens`` ids are cut; the last piece may be
-    shorter. Null and empty texts give the end id alone; a null doc_id stays null;
+    shorter. ``remembered``: bytes of words that a Python worker keeps, twice; fewer cost
+    time alone. Null and empty texts give the end id alone; a null doc_id stays null;
     repeated rows give repeated pieces; other columns are ignored; an empty table
     gives no pieces."""
     path = path or default_tokenizer()
@@ -125,7 +128,7 @@ def tokenize(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOK
 
     def cut(batches):
         names = ["doc_id", "piece", "start", "length", "ids"]
-        coder = tokenizer_of(path)
+        coder = tokenizer_of(path, remembered)
         for batch in chunks(batches, 500):
             rows: list[list] = [[], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
