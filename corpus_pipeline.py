@@ -67,9 +67,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all token pieces in sequences of at most 4096 tokens; null and empty texts
     are the end token alone, repeated rows are packed each."""
-    return pack_documents(docs)
+    return pack_documents(docs, remembered=REMEMBERED_BYTES)
 
 
+#: Bytes of words that packing's workers remember, twice: executors still hold what the
+#: stages before have taken.
+REMEMBERED_BYTES = 50_000_000
+
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", line_dedup),
