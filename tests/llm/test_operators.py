@@ -620,3 +620,50 @@ def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
     packed = stages["packing"](spark, df, str(tmp_path)).collect()
     check_packing(packed, 4096)
     assert len({r["doc_id"] for r in packed}) == len({i for i, _ in rows}) and stages["packing"](spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["language_id", "line_dedup", "near_dedup", "decontamination", "packing"])
+def test_pipeline_stages_bound_batches(spark, tmp_path, name):
+    """What a task and its Python worker exchange at once; a limit that is set stays, and groups stay whole."""
+    import corpus_pipeline as P
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, "zu zv")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    large = spark.range(0, 1000, 1, 1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+
+    def most(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(x.nbytes for x in batches)])], ["n"])
+
+    seen = lambda: large.mapInArrow(most, "n long").first()["n"]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        assert seen() > 15_000_000
+        dict(P.STAGES)[name](spark, docs_of(spark, [(1, "one two"), (2, "three")]), str(tmp_path)).count()
+        assert seen() < 5_000_000
+        sizes = large.groupBy(F.col("id") % 2).applyInPandas(lambda x: x[["id"]].assign(n=len(x)), "id long, n long")
+        assert sizes.filter("n = 500").count() == 1000
+        spark.conf.set(key, "1000000")
+        dict(P.STAGES)[name](spark, docs_of(spark, [(1, "one two"), (2, "three")]), str(tmp_path)).count()
+        assert seen() < 2_000_000
+    finally:
+        spark.conf.unset(key)
+
+
+def test_pipeline_stages_on_small_batches(spark, tmp_path):
+    """A batch's end changes no row: each stage with batches of a row or two and in one batch."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    lines_of = lambda w: "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4))
+    rows = [(i, lines_of(t.split())) for i, t in random_docs(60, 5)] + AWKWARD + [(200, "w1 w2 w3 w4 w5 w6 w7")]
+    key, found = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    columns = {"packing": ["doc_id", "piece", "start", "length", "ids_crc32"]}
+    try:
+        for limit in ("64m", "300"):
+            spark.conf.set(key, limit)
+            found.append({n: sorted(map(repr, f(spark, docs_of(spark, rows).coalesce(1), str(tmp_path)).select(columns.get(n, ["doc_id", "text", "n_chars"])).collect())) for n, f in P.STAGES})
+    finally:
+        spark.conf.unset(key)
+    assert found[0] == found[1] and all(found[0].values())
