@@ -28,6 +28,21 @@ def sent(df) -> list[str]:
     return found
 
 
+def most_rows(df) -> int:
+    """Rows of the node of a plan that gives the most of them, as it ran."""
+    df.collect()
+
+    def nodes(node):
+        yield node
+        kind = node.getClass().getSimpleName()
+        inner = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        for x in inner + [node.children().apply(k) for k in range(node.children().size())]:
+            yield from nodes(x)
+
+    counts = [n.metrics().get("numOutputRows") for n in nodes(df._jdf.queryExecution().executedPlan())]
+    return max(c.get().value() for c in counts if c.isDefined())
+
+
 def test_mentions_send_titles_and_no_runs(spark, monkeypatch):
     ent = spark.createDataFrame([("the x", "The X", "1", "world"), ("x", "x", "2", "world"), ("a-b c", "A-b C", "3", "event"), ("", "", "4", "world")], "key string, title string, doc_id string, type string")
     q = spark.createDataFrame([(1, "is THE x near a-b  c, x?"), (2, ""), (3, None), (4, "a-b"), (5, "x x the x")], "query_id int, text string")
@@ -37,3 +52,39 @@ def test_mentions_send_titles_and_no_runs(spark, monkeypatch):
     monkeypatch.setattr(G, "SENT", 0)
     assert got() == want and not sent(G.mentions(ent, q))
     assert G.mentions(ent.limit(0), q).count() == 0
+
+
+def test_neighbours_of_a_title_that_many_pages_have(spark):
+    """Pages of one title with links each; and questions with several titles, some twice."""
+    n = 300
+    docs = [(k, "Hot" if k < n else f"T{k}", "world", [f"t{n + k % 7}", f"T{n + k % 5}", "gone"], {}) for k in range(n + 9)]
+    ent, edges = G.build(spark.createDataFrame(docs, "doc_id long, title string, document_type string, entities array<string>, infobox map<string,string>"))
+    asked = [(k, "hot" if k < n else f"t{k}") for k in range(n + 9)] + [(900, "hot"), (900, "t301"), (901, "t301"), (901, "hot"), (902, "t301"), (902, "t301"), (903, "none"), (904, None)]
+    near = G.neighbours(ent, edges, spark.createDataFrame(asked, "query_id long, key string"))
+    pages = {r["key"]: r["doc_id"] for r in ent.collect()}
+    both = [x for r in edges.collect() for x in ((r["src_key"], r["dst_key"], r["doc_id"]), (r["dst_key"], r["src_key"], r["doc_id"]))]
+    want = set()
+    for q in {q for q, _ in asked}:
+        points = {}
+        for _, key in (a for a in asked if a[0] == q):
+            for _, other, doc in (x for x in both if x[0] == key):
+                for d, p in ((pages[other], 2), (doc, 1)):
+                    if d is not None:
+                        points[d] = points.get(d, 0) + p
+        want |= {(q, d, p, k + 1) for k, (d, p) in enumerate(sorted(points.items(), key=lambda x: (-x[1], x[0]))[:8])}
+    assert {tuple(r) for r in near.collect()} == want and near.count() == len(want)
+    assert most_rows(near) < 20 * n  # all pairs are n * n and more
+
+    chunks = spark.createDataFrame([(4 * d + k, d, "", f"word{d} hot t{k}" if k else None, k) for d in range(n + 9) for k in range(4)], "id long, doc_id long, title string, text string, ordinal int")
+    asks = spark.createDataFrame([(k, "Hot" if k < n else "hot t2") for k in range(n + 9)] + [(900, "t1 t2"), (901, None)], "query_id long, text string")
+    top = G.graph_topk(near, chunks, asks, 5)
+    found = {(r["query_id"], r["id"]): (round(r["score"], 6), r["rank"]) for r in top.collect()}
+    text = {r["id"]: set((r["text"] or "").split()) for r in chunks.collect()}
+    words = {r["query_id"]: set((r["text"] or "").lower().split()) for r in asks.collect()}
+    expected = {}
+    for q in words:
+        rows = []
+        for _, d, _, r in (x for x in want if x[0] == q):
+            rows += [(r, *x) for x in sorted((-len(words[q] & text[4 * d + k]), k, 4 * d + k) for k in range(4))[:2]]
+        expected |= {(q, x[3]): (round(1 / (k + 1) - x[1] * 0.01, 6), k + 1) for k, x in enumerate(sorted(rows)[:5])}
+    assert found == expected and most_rows(top) < 20 * n
