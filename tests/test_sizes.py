@@ -3,7 +3,12 @@
 import contextlib
 import io
 
+import duckdb
+import pandas as pd
+
+from quarry.operators import evaluate as E
 from quarry.operators import graph as G
+from quarry.plans import queries as Q
 
 
 def plan(df) -> str:
@@ -88,3 +93,21 @@ def test_neighbours_of_a_title_that_many_pages_have(spark):
             rows += [(r, *x) for x in sorted((-len(words[q] & text[4 * d + k]), k, 4 * d + k) for k in range(4))[:2]]
         expected |= {(q, x[3]): (round(1 / (k + 1) - x[1] * 0.01, 6), k + 1) for k, x in enumerate(sorted(rows)[:5])}
     assert found == expected and most_rows(top) < 20 * n
+
+
+def test_items_whose_ends_are_joined_to_other_words(spark, tmp_path):
+    """An item's first and last words need not be words of a document that holds it; nor need it have three."""
+    items = [(0, "rare common rarer"), (1, "two words"), (2, "one"), (3, ""), (4, "not there at all"), (5, "a b c"), (6, None), (7, "x\ny  z w")]
+    docs = [(0, "xrare common rarerx"), (1, "rare common else"), (2, "rarer common"), (3, "atwo words."), (4, "none"), (5, "a b c"), (6, "aa b cc\nb"), (7, None), (8, ""), (9, "x\ny  z  w x\ny  z w")]
+    files = {"benchmark": pd.DataFrame(items, columns=["item_id", "text"]), "documents": pd.DataFrame([(d, x, "en", f"s{d % 3}", len(x or "")) for d, x in docs], columns=["doc_id", "text", "lang", "source", "n_chars"])}
+    c = duckdb.connect()
+    for name, rows in files.items():
+        rows.to_parquet(tmp_path / f"{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    want = {(i, d) for i, a in items for d, b in docs if a is not None and b is not None and a in b}
+    got = [tuple(r) for r in Q._relevant(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and (0, 0) in want
+    for name in ("gold_resolution",):
+        res = Q.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, res.collect())) == sorted(c.execute(f"SELECT {', '.join(res.columns)} FROM ({Q.ORACLES[name]})").fetchall())
+    assert "Exchange" not in plan(E.holding(Q.questions(spark, str(tmp_path)).withColumnRenamed("query_id", "item_id"), Q.t(spark, str(tmp_path), "documents")))
