@@ -17,7 +17,7 @@ def evaluated(corpus: Corpus, items: DataFrame, recipe: Recipe, k: int = 8, mode
     resolved_ids, unresolved_ids, unresolved_titles, status and, for vectors, v), and
     those by question type. Nothing is searched for items without a resolved label."""
     on = items.filter(F.size("resolved_ids") > 0)
-    hits = search(corpus, on, recipe, model=model).join(corpus.chunks.select("id", "doc_id"), "id")
+    hits = R.beside(search(corpus, on, recipe, model=model), corpus.chunks.select("id", "doc_id"), items, recipe.k_final)
     docs = R.deduplicated_docs(hits.select("query_id", "doc_id", "rank"))
     metrics = E.item_metrics(on.select("query_id", F.explode("resolved_ids").alias("doc_id")), docs, k)
     labels = F.sum(((F.size("unresolved_ids") > 0) | (F.size("unresolved_titles") > 0)).cast("long")).alias("n_with_unresolved_labels")

@@ -2,12 +2,20 @@
 
 import contextlib
 import io
+import math
+import random
+import re
+from collections import Counter
 
 import duckdb
 import pandas as pd
+import pytest
 
+from quarry.functions import text as T
 from quarry.operators import evaluate as E
 from quarry.operators import graph as G
+from quarry.operators import retrieve as R
+from quarry.plans import recipes as P
 from quarry.plans import queries as Q
 
 
@@ -111,3 +119,53 @@ def test_items_whose_ends_are_joined_to_other_words(spark, tmp_path):
         res = Q.QUERIES[name](spark, str(tmp_path))
         assert sorted(map(tuple, res.collect())) == sorted(c.execute(f"SELECT {', '.join(res.columns)} FROM ({Q.ORACLES[name]})").fetchall())
     assert "Exchange" not in plan(E.holding(Q.questions(spark, str(tmp_path)).withColumnRenamed("query_id", "item_id"), Q.t(spark, str(tmp_path), "documents")))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_keyword_hits_against_brute_force(spark, monkeypatch, small):
+    """Copies, texts without words, words that all texts hold, ids that are strings; questions in several lots."""
+    if small:
+        for name, n in (("QUESTIONS", 3), ("TERMS", 7), ("CELLS", 40), ("SENT", 1)):
+            monkeypatch.setattr(R, name, n)
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(30)] + ["the", "x", "Ünïcode", "snake_case"]
+    texts = [(f"d{k}", " ".join(rng.choices(vocabulary, k=rng.randint(0, 25)) + ["everywhere"])) for k in range(380)]
+    texts += [(f"c{k}", texts[7][1]) for k in range(60)] + [("n", None), ("e", ""), ("s", "the of x")]
+    asked = [(q, " ".join(rng.choices(vocabulary, k=rng.randint(1, 6)))) for q in range(30)] + [(30, "everywhere"), (31, "unseen"), (32, ""), (33, None), (34, texts[7][1])]
+    split = lambda x: [w for w in re.findall(r"\w{2,}", (x or "").lower()) if w not in T.STOP_WORDS]
+    tf = {i: Counter(split(x)) for i, x in texts}
+    df, n = Counter(w for c in tf.values() for w in c), len(texts)
+    mean = sum(c.total() for c in tf.values()) / n
+
+    def best(text, k, keep=None):
+        scores = {}
+        for i, c in tf.items():
+            held = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] / (c[w] + 1.5 * (0.25 + 0.75 * c.total() / mean)) for w in set(split(text)) if w in c]
+            if held:
+                scores[i] = round(sum(held), 6)
+        first = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+        return first[:k] if keep is None else [x for x in first[: 4 * k] if x[0] in keep][:k]
+
+    chunks = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    index, q = R.keyword_index(chunks), spark.createDataFrame(asked, "query_id long, text string")
+    kept = {i for i, _ in texts if i.endswith(("1", "2", "3"))}
+    keep = spark.createDataFrame([(i,) for i in kept] * 2, "id string")
+    for got, want in ((R.keyword_topk(index, q, 9), lambda x: best(x, 9)), (R.keyword_topk(index, q, 9, keep), lambda x: best(x, 9, kept))):
+        assert sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in got.collect()) == sorted((a, k + 1, i, s) for a, x in asked for k, (i, s) in enumerate(want(x)))
+    if not small:
+        assert most_rows(R.keyword_topk(index, q, 9)) < 2000  # pairs of question and text that share a word are some 10,000
+    assert R.keyword_topk(index, q.limit(0), 9).count() == 0 and R.keyword_topk(R.keyword_index(chunks.limit(0)), q, 9).count() == 0
+
+
+def test_no_text_is_dealt_for_few_hits(spark):
+    words = "alpha beta gamma delta".split()
+    chunks = spark.createDataFrame([(k, k, "T", f"{words[k % 4]} {words[k % 3]}", 0) for k in range(50)], "id long, doc_id long, title string, text string, ordinal int")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id long, text string")
+    corpus = P.Corpus(chunks, R.keyword_index(chunks))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rich = R.beside(R.keyword_topk(corpus.keyword, q, 5), chunks, q, 5)
+        for df in (rich, P.search(corpus, q, P.Recipe("r", use_dense=False, use_rerank=True)), Q.QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001")):
+            assert not re.search(r"hashpartitioning\(id#", plan(df)) and df.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
