@@ -9,6 +9,9 @@ from pyspark.sql.window import Window as W
 from quarry.functions import text as T
 from quarry.operators.classify import TYPES, document_type
 
+#: Rows that a task numbers, as far as the number of ranges allows.
+RANGE, RANGES = 200_000, 256
+
 
 def unknown_type(types: list[str]) -> str | None:
     """The least type that doesn't exist, for a request's error."""
@@ -50,6 +53,32 @@ def in_order(docs: DataFrame, folded: bool = True) -> DataFrame:
     return docs.orderBy(title, *rest)
 
 
+def numbered(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """rows with their place from 1 in the order of ``key``, a struct of columns, as
+    row_number gives it. Bounds out of a sample deal the order into ranges of some
+    RANGE rows; each range is numbered by a task, from the count of all before it."""
+    rows = rows.withColumn("_key", key)
+    n = rows.count()
+    ranges = min(RANGES, -(-n // RANGE))
+    bounds = []
+    if ranges > 1:
+        some = rows.select("_key").sample(min(1.0, 100 * ranges / n), seed=7).orderBy("_key").collect()
+        bounds = [some[len(some) * k // ranges]["_key"] for k in range(1, ranges) if some]
+    kinds = rows.schema["_key"].dataType.fields
+    at_least = lambda b: F.col("_key") >= F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kinds, strict=True)))
+
+    def place(a: int, b: int) -> Column:
+        """Among ranges a to b, by halves."""
+        mid = (a + b + 1) // 2
+        return F.lit(a) if a == b else F.when(at_least(bounds[mid - 1]), place(mid, b)).otherwise(place(a, mid - 1))
+
+    rows = rows.withColumn("_range", place(0, len(bounds)))
+    counts = {r["_range"]: r["n"] for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    before = F.array(*(F.lit(sum(counts.get(x, 0) for x in range(k))).cast("long") for k in range(len(bounds) + 1)))
+    in_range = F.row_number().over(W.partitionBy("_range").orderBy("_key"))
+    return rows.withColumn(name, F.get(before, F.col("_range")) + in_range).drop("_key", "_range")
+
+
 def page(docs: DataFrame, number: int = 1, per_page: int = 24) -> DataFrame:
     """A page by folded title, then doc_id."""
     return docs.orderBy(T.fold(F.col("title")), "doc_id").offset((number - 1) * per_page).limit(per_page)

@@ -11,7 +11,11 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
 from quarry.functions import text as T
+from quarry.operators import catalog as C
 from quarry.operators import evaluate as E
 from quarry.operators import graph as G
 from quarry.operators import retrieve as R
@@ -169,3 +173,17 @@ def test_no_text_is_dealt_for_few_hits(spark):
             assert not re.search(r"hashpartitioning\(id#", plan(df)) and df.count() > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_places_without_one_task_for_all(spark, monkeypatch, size):
+    monkeypatch.setattr(C, "RANGE", size)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "ß", "zz", "2024-01-01T00:00:00Z"]), rng.choice([None, 0, 0, 0, rng.randrange(-9, 99)]), k) for k in range(900)] + [("a", 0, 10_000 + k) for k in range(300)]
+    df = spark.createDataFrame(rows, "t string, p long, k long").repartition(5)
+    got = C.numbered(df, F.struct("t", "p", "k"), "n")
+    want = df.withColumn("n", F.row_number().over(W.orderBy("t", "p", "k")).cast("long"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema["n"].dataType == want.schema["n"].dataType
+    assert C.numbered(df.limit(0), F.struct("t", "p", "k"), "n").count() == 0
+    for name in ("recent_changes", "corpus_order") if size < 10_000 else ():  # more rows than a task is given
+        assert "SinglePartition" not in plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001"))
